@@ -152,7 +152,7 @@ def bp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select(
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("https://svc"), (F.col("user_id") % 10).cast("string"), F.lit(".example.com/")).alias("url"),
         F.when(e % 23 == 0, F.lit(503)).otherwise(F.lit(200)).alias("status"),
         (e % 500).alias("duration_ms"),
@@ -168,7 +168,6 @@ def page_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit(f"{SITE}/u/"), (F.col("user_id") % 50).cast("string")).alias("url"),
         e.alias("seq"),
-        "ts",
         F.when(e % 3 == 0, F.lit(200)).otherwise(F.lit(0)).alias("status"),
         on(5, F.lit("status 404")).alias("error"),
         on(7, F.concat(F.lit("/m/"), e.cast("string"))).alias("markdown_path"),

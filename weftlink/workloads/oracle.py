@@ -1 +1,302 @@
+"""Each registered query as one DuckDB statement over the same tables.
+
+Written independently of the Spark code: inputs, URL rules and text rules are
+spelled out again in SQL, as common table expressions put together below.
+"""
+
+from __future__ import annotations
+
+# --- scalar rules -----------------------------------------------------------
+
+SPACES = r"\t\n\x0B\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+INLINE = SPACES.replace(r"\n", "")
+
+
+def trim(e: str) -> str:
+    return rf"regexp_replace(regexp_replace({e}, '^[{SPACES}]+', ''), '[{SPACES}]+$', '')"
+
+
+def decode(e: str) -> str:
+    """Character references of this data; ``&amp;`` last, so that it counts once."""
+    out = e
+    for name, ch in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·")):
+        out = f"replace({out}, '&{name};', '{ch}')"
+    return rf"regexp_replace({out}, '&amp;?', '&', 'g')"
+
+
+def clean_path(e: str) -> str:
+    """Single slashes, no dot segments (none go up in this data), escaped anew."""
+    kept = f"list_filter(string_split(url_decode(replace({e}, '+', '%2B')), '/'), lambda s: s <> '' AND s <> '.')"
+    path = f"('/' || array_to_string({kept}, '/') || CASE WHEN {e} LIKE '%_/' AND len({kept}) > 0 THEN '/' ELSE '' END)"
+    out = f"url_encode({path})"
+    for ch in "/:$&+,;=@":
+        out = f"replace({out}, '%{ord(ch):02X}', '{ch}')"
+    return out
+
+
+SCHEME = r"regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
+
+
+def host(e: str) -> str:
+    return rf"lower(regexp_extract({e}, '^[A-Za-z]+://([^/?#]*)', 1))"
+
+
+def extension(e: str) -> str:
+    return rf"lower(regexp_extract(url_decode(replace({path_of(e)}, '+', '%2B')), '(\.[^./]*)$', 1))"
+
+
+def path_of(e: str) -> str:
+    return rf"regexp_extract({e}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+def allowed_extension(e: str) -> str:
+    return f"{extension(e)} IN ('', '.html', '.htm')"
+
+
+def resolved(href: str, base: str) -> str:
+    """Absolute text of a reference, its path not cleaned yet."""
+    origin = rf"regexp_extract({base}, '^([A-Za-z]+://[^/?#]*)', 1)"
+    scheme = rf"regexp_extract({base}, '^([A-Za-z]+):', 1)"
+    directory = rf"regexp_replace({path_of(base)}, '[^/]*$', '')"
+    no_fragment = f"split_part({href}, '#', 1)"
+    query = rf"regexp_extract({base}, '\?[^#]*')"
+    return f"""CASE
+      WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {no_fragment}
+      WHEN {href} LIKE '//%' THEN {scheme} || ':' || {no_fragment}
+      WHEN {href} LIKE '/%' THEN {origin} || {no_fragment}
+      WHEN {no_fragment} = '' THEN {origin} || {path_of(base)} || {query}
+      WHEN {href} LIKE '?%' THEN {origin} || {path_of(base)} || {no_fragment}
+      ELSE {origin} || {directory} || {no_fragment} END"""
+
+
+def canonical(e: str) -> str:
+    """Canonical form of an absolute http(s) URL without a fragment."""
+    query = rf"regexp_extract({e}, '\?.*$')"
+    return f"lower({SCHEME.format(e)}) || '://' || {host(e)} || {clean_path(path_of(e))} || {query}"
+
+
+def escaped(e: str) -> str:
+    """Resolved text with its path escaped but not cleaned."""
+    out = f"url_encode({path_of(e)})"
+    for ch in "/:$&+,;=@%!'()*[]":
+        sql = "''" if ch == "'" else ch
+        out = f"replace({out}, '%{ord(ch):02X}', '{sql}')"
+    return rf"regexp_extract({e}, '^([A-Za-z]+://[^/?#]*)', 1) || {out} || regexp_extract({e}, '\?.*$')"
+
+
+def segment(e: str) -> str:
+    return f"trim(regexp_replace({e}, '[^A-Za-z0-9._-]', '-', 'g'), '-')"
+
+
+def export_path(e: str) -> str:
+    inner = f"trim(url_decode(replace({path_of(e)}, '+', '%2B')), '/')"
+    part = f"CASE WHEN {segment('s')} = '' THEN 'section' ELSE {segment('s')} END"
+    path = f"CASE WHEN {inner} = '' THEN 'index' ELSE array_to_string(list_transform(string_split({inner}, '/'), lambda s: {part}), '/') END"
+    query = rf"regexp_extract({e}, '\?(.*)$', 1)"
+    raw_host = rf"regexp_extract({e}, '^[A-Za-z]+://([^/?#]*)', 1)"
+    return (
+        f"{segment(raw_host)} || '/' || {path} || "
+        f"CASE WHEN {query} = '' THEN '' ELSE '__' || {segment(query)} END || '.md'"
+    )
+
+
+def drop_unseen(e: str) -> str:
+    out = e
+    for tag in ("script", "style", "noscript", "template", "iframe"):
+        out = f"regexp_replace({out}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    return f"regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g')"
+
+
+BLOCKS = "p|div|section|article|main|header|footer|address|blockquote|table|tr|tbody|thead|tfoot|ul|ol"
+
+
+def layout(e: str) -> str:
+    steps = [("<br[^>]*>", "chr(10)"), ("<li[^>]*>", "chr(10) || '- '"), ("</li>", "''")]
+    steps += [(f"<h{n}[^>]*>", f"chr(10) || chr(10) || '{'#' * n} '") for n in range(1, 7)]
+    steps += [
+        ("</h[1-6]>", "chr(10) || chr(10)"),
+        (f"<({BLOCKS})[^>]*>", "chr(10) || chr(10)"),
+        (f"</({BLOCKS})>", "chr(10) || chr(10)"),
+        ("<[^>]+>", "''"),
+    ]
+    out = e
+    for pattern, replacement in steps:
+        out = f"regexp_replace({out}, '(?is){pattern}', {replacement}, 'g')"
+    return decode(out)
+
+
+def tidy(e: str) -> str:
+    """Line by line: trim, collapse, space after heading marks; then blank runs."""
+    line = rf"trim(regexp_replace(l, '[{INLINE}]+', ' ', 'g'))"
+    marked = rf"regexp_replace({line}, '^(#+)([^# ])', '\1 \2')"
+    lines = f"array_to_string(list_transform(string_split({e}, chr(10)), lambda l: {marked}), chr(10))"
+    return trim(rf"regexp_replace({lines}, '\n\n\n+', chr(10) || chr(10), 'g')")
+
+
+def visible(e: str) -> str:
+    return tidy(layout(drop_unseen(e)))
+
+
+# --- inputs -----------------------------------------------------------------
+
+HREF = r"""(?i)<a[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
+
+
+def suffix(i: str) -> str:
+    return f"CASE WHEN ({i}) % 11 = 10 THEN '.pdf' WHEN ({i}) % 4 = 1 THEN '.html' WHEN ({i}) % 4 = 2 THEN '/' ELSE '' END"
+
+
+SITE = f"""site AS (
+  SELECT page_id, 'https://site.example.com/p/' || page_id || {suffix('page_id')} AS url,
+    CASE WHEN page_id % 17 = 16 THEN 404 WHEN page_id % 29 = 28 THEN 500 ELSE 200 END AS status,
+    html || '<a href="/p/' || (2 * page_id + 1) || {suffix('2 * page_id + 1')} || '">left</a>'
+      || '<a class=x HREF=''//SITE.example.com/p//' || (2 * page_id + 2) || {suffix('2 * page_id + 2')} || '#f''>right</a>'
+      || '<a href=/p/0>home</a>'
+      || '<a href="https://ext' || (page_id % 5) || '.example.org/x?i=' || (page_id % 7) || '">out</a>'
+      || '<a href="mailto:a@b.c">mail</a>' AS html,
+    page_id % 400 AS retrieved_ms,
+    TIMESTAMP '2024-01-01' + to_seconds(page_id) AS fetched_at
+  FROM pages)"""
+
+SITE_META = f"""{SITE}, site_meta AS (
+  SELECT page_id, url, status, retrieved_ms, fetched_at, CASE page_id % 10
+    WHEN 0 THEN '<meta http-equiv="refresh" content="0; url=/p/' || (page_id + 3) || '">' || html
+    WHEN 1 THEN '<meta name="description" content="About ' || page_id || ' &amp; more">' || html
+    WHEN 2 THEN '<!doctype html><html><head><title>Empty ' || page_id
+      || '</title><meta name="description" content="Nothing on ' || page_id || '."></head><body></body></html>'
+    ELSE html END AS html
+  FROM site)"""
+
+EXT_SNAPSHOT = """ext_snapshot AS (
+  SELECT DISTINCT 'https://ext' || (page_id % 5) || '.example.org/x?i=' || (page_id % 7) AS url,
+    CASE WHEN ((page_id % 5) * (page_id % 7)) % 5 = 4 THEN 404 ELSE 200 END AS status
+  FROM pages WHERE (page_id % 5 + page_id % 7) % 6 <> 5)"""
+
+PRIOR_VISITED = """prior_visited AS (
+  SELECT url, status, CASE WHEN status >= 400 THEN 'status ' || status ELSE '' END AS error, fetched_at AS last_visited
+  FROM site WHERE page_id % 6 = 5)"""
+
+BP = f"""bp AS (
+  SELECT {host('url')} AS host, page_id AS ord,
+    CASE WHEN page_id % 7 = 6 THEN '' ELSE 'Header ' || {host('url')} || chr(10) || 'Home' || chr(10) || chr(10) END
+      || 'Page ' || page_id || chr(10) || 'body ' || page_id || chr(10) || chr(10) || 'Footer ' || {host('url')} AS text
+  FROM pages)"""
+
+PROBES = """probes AS (
+  SELECT ts, 'https://svc' || (user_id % 10) || '.example.com/' AS url,
+    CASE WHEN event_id % 23 = 0 THEN 503 ELSE 200 END AS status, event_id % 500 AS duration_ms
+  FROM events)"""
+
+PAGE_SAVES = """page_saves AS (
+  SELECT 'https://site.example.com/u/' || (user_id % 50) AS url, event_id AS seq,
+    CASE WHEN event_id % 3 = 0 THEN 200 ELSE 0 END AS status,
+    CASE WHEN event_id % 5 = 0 THEN 'status 404' ELSE '' END AS error,
+    CASE WHEN event_id % 7 = 0 THEN '/m/' || event_id ELSE '' END AS markdown_path,
+    CASE WHEN event_id % 11 = 0 THEN 'unchanged content' ELSE '' END AS skip_reason
+  FROM events)"""
+
+
+def href_rows(source: str) -> str:
+    """``found(page_url, pos, raw)`` of ``source(url, html)``."""
+    return f"""matched AS (SELECT url, regexp_extract_all(html, '{HREF}', 1) AS m FROM {source}),
+found AS (SELECT url AS page_url, (generate_subscripts(m, 1) - 1)::INT AS pos,
+  regexp_replace(unnest(m), '^["'']|["'']$', '', 'g') AS raw FROM matched)"""
+
+
+FOLLOWABLE = "href <> '' AND href <> '#' AND NOT regexp_matches(href, '(?i)^(javascript|mailto|tel):')"
+CLEANED = f"cleaned AS (SELECT * FROM (SELECT page_url, pos, {decode(trim('raw'))} AS href FROM found) WHERE {FOLLOWABLE})"
+
+
+def classified(source: str) -> str:
+    """``classified(page_url, pos, href, link_url, link_type)``."""
+    return f"""{href_rows(source)}, {CLEANED},
+absolute AS (SELECT *, {resolved('href', 'page_url')} AS target FROM cleaned),
+classified AS (SELECT page_url, pos, href, {canonical('target')} AS link_url,
+  CASE WHEN {host('target')} = {host('page_url')} THEN 'internal' ELSE 'external' END AS link_type
+  FROM absolute WHERE regexp_matches(target, '^https?://'))"""
+
+
+def distinct_links(source: str) -> str:
+    """``listed(page_url, pos, link_url, link_type)``: first occurrence per page, renumbered."""
+    return f"""{classified(source)},
+firsts AS (SELECT page_url, link_url, min(pos) AS p, arg_min(link_type, pos) AS link_type
+  FROM classified GROUP BY page_url, link_url),
+listed AS (SELECT page_url, (row_number() OVER (PARTITION BY page_url ORDER BY p) - 1)::INT AS pos, link_url, link_type
+  FROM firsts)"""
+
+
+START = "https://site.example.com/p/0"
+REFRESH = r"""(?is)<meta[^>]+http-equiv\s*=\s*[''"]refresh[''"][^>]*content\s*=\s*[''"]([^''"]+)[''"]"""
+REFRESH_URL = rf"regexp_extract(regexp_extract(html, '{REFRESH}', 1), '(?i)^(?:.*;)?\s*url=([^;]*)', 1)"
+DESCRIPTION = r"""(?is)<meta[^>]+(?:name|property)\s*=\s*[''"](?:description|og:description)[''"][^>]*content\s*=\s*[''"]([^''"]+)[''"]"""
+TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+def refreshed_links(source: str) -> str:
+    """``linked``: listed links plus the refresh target where it is new."""
+    return f"""{distinct_links(source)},
+targets AS (SELECT url AS page_url, {canonical(resolved('t', f"'{START}'"))} AS link_url
+  FROM (SELECT url, {REFRESH_URL} AS t FROM {source}) WHERE t <> ''),
+linked AS (SELECT * FROM listed UNION ALL
+  SELECT t.page_url, (SELECT count(*) FROM listed l WHERE l.page_url = t.page_url)::INT, t.link_url,
+    CASE WHEN {host('t.link_url')} = 'site.example.com' THEN 'internal' ELSE 'external' END
+  FROM targets t WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.page_url = t.page_url AND l.link_url = t.link_url))"""
+
+
 ORACLE: dict[str, str] = {}
+
+# --- links of pages ---------------------------------------------------------
+
+ORACLE["hrefs"] = f"WITH {href_rows('pages')} SELECT page_url, pos, raw AS href FROM found"
+ORACLE["hrefs_clean"] = f"WITH {href_rows('pages')}, {CLEANED} SELECT page_url, pos, href FROM cleaned"
+ORACLE["links_resolved"] = f"""WITH {href_rows('pages')}, {CLEANED}
+SELECT page_url, pos, href, {escaped('target')} AS resolved
+FROM (SELECT *, {resolved('href', 'page_url')} AS target FROM cleaned)"""
+ORACLE["links_classified"] = f"WITH {SITE}, {classified('site')} SELECT * FROM classified"
+
+
+def spellings(source: str) -> str:
+    return f"""{href_rows(source)}, {CLEANED},
+spelled AS (SELECT page_url, href AS raw FROM cleaned UNION ALL SELECT url, url FROM {source}),
+spelling AS (SELECT page_url, raw, {canonical('target')} AS canonical
+  FROM (SELECT *, {resolved('raw', 'page_url')} AS target FROM spelled) WHERE regexp_matches(target, '^https?://'))"""
+
+
+ORACLE["canonical_urls"] = f"WITH {spellings('pages')} SELECT page_url, raw, canonical FROM spelling"
+ORACLE["canonical_dups"] = f"""WITH {SITE}, {spellings('site')}
+SELECT canonical, count(DISTINCT raw) AS spellings, count(*) AS occurrences FROM spelling GROUP BY canonical"""
+ORACLE["page_links"] = f"WITH {SITE}, {distinct_links('site')} SELECT * FROM listed"
+ORACLE["link_type_counts"] = f"""WITH {distinct_links('pages')}
+SELECT page_url, count(*) FILTER (link_type = 'internal') AS internal_links,
+  count(*) FILTER (link_type = 'external') AS external_links FROM listed GROUP BY page_url"""
+ORACLE["extension_filter"] = f"""WITH {distinct_links('pages')}
+SELECT page_url, link_url, {extension('link_url')} AS extension, {allowed_extension('link_url')} AS allowed FROM listed"""
+ORACLE["meta_refresh"] = f"WITH {SITE_META} SELECT url, {REFRESH_URL} AS target FROM site_meta"
+ORACLE["links_with_refresh"] = f"WITH {SITE_META}, {refreshed_links('site_meta')} SELECT * FROM linked"
+ORACLE["start_url_check"] = r"""WITH bare AS (SELECT url, regexp_replace(url, '^[a-z]+://', '') AS b FROM pages),
+urls AS (SELECT url FROM bare UNION SELECT '//' || b FROM bare UNION SELECT 'ftp://' || b FROM bare
+  UNION SELECT '/' || b FROM bare UNION SELECT '')
+SELECT url, CASE WHEN regexp_matches(url, '^https?://') THEN url WHEN url LIKE '//%' THEN 'https:' || url ELSE '' END AS start_url,
+  CASE WHEN url = '' THEN 'start URL is required' WHEN url LIKE 'ftp:%' THEN 'unsupported scheme "ftp"'
+    WHEN regexp_matches(url, '^/[^/]') THEN 'start URL must include a host' ELSE '' END AS reason
+FROM urls"""
+
+# --- page text --------------------------------------------------------------
+
+ORACLE["page_titles"] = f"SELECT page_id, {trim(decode(TITLE))} AS title FROM pages"
+ORACLE["decoded_titles"] = f"SELECT page_id, {TITLE} AS raw, {decode(trim(TITLE))} AS decoded FROM pages"
+ORACLE["page_descriptions"] = f"""WITH {SITE_META}
+SELECT url, {trim(decode(f"regexp_extract(html, '{DESCRIPTION}', 1)"))} AS description FROM site_meta"""
+TEXTS = f"texts AS (SELECT page_id, {visible('html')} || chr(10) AS text FROM pages)"
+ORACLE["visible_text"] = f"WITH {TEXTS} SELECT page_id, text FROM texts"
+ORACLE["word_counts"] = rf"""WITH {TEXTS}
+SELECT page_id, len(regexp_extract_all(text, '[^{SPACES}]+')) AS words FROM texts"""
+ORACLE["content_hash"] = f"WITH {TEXTS} SELECT page_id, sha256(text) AS content_sha256 FROM texts"
+ORACLE["fallback_document"] = f"""WITH {SITE_META}, parts AS (
+  SELECT url, {trim(decode(TITLE))} AS title, {REFRESH_URL} AS target, {visible('html')} AS text,
+    {trim(decode(f"regexp_extract(html, '{DESCRIPTION}', 1)"))} AS description FROM site_meta)
+SELECT url, CASE WHEN title = '' THEN '' ELSE '# ' || title || chr(10) || chr(10) END
+  || CASE WHEN description = '' THEN '' ELSE description || chr(10) || chr(10) END
+  || CASE WHEN target = '' THEN '' ELSE 'Meta refresh redirect target: ' || target || chr(10) || chr(10) END
+  || CASE WHEN text = '' THEN '*No textual content extracted.*' ELSE text END || chr(10) AS document
+FROM parts"""
