@@ -88,4 +88,4 @@ def decode_entities(c: Column) -> Column:
             F.zip_with(pieces, F.concat(decoded, F.array(F.lit(""))), lambda p, d: F.concat(p, d)), ""
         )
 
-    return F.when(c.rlike("&[#0-9A-Za-z]"), let(c, decode)).otherwise(c)
+    return let(c, lambda text: F.when(text.rlike("&[#0-9A-Za-z]"), decode(text)).otherwise(text))

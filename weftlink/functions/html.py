@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .entities import decode_entities
-from .text import SPACE_IN_LINE, TAG_SPACE, is_blank, let, rtrim_space, trim_space
+from .text import TAG_SPACE, let, single_spaces, trim_space
 
 # Body limit, link pattern, skipped link schemes, and the head
 # patterns. The loose tag patterns are part of the results: ``<li`` also covers
@@ -102,14 +102,13 @@ def tags_to_layout(html: Column) -> Column:
     for level in range(1, 7):
         out = F.regexp_replace(out, rf"(?is)<h{level}[^>]*>", "\n\n" + "#" * level + " ")
     out = F.regexp_replace(out, r"(?is)</h[1-6]>", "\n\n")
-    out = F.regexp_replace(out, rf"(?is)<(?:{BLOCK_ELEMENTS})[^>]*>|</(?:{BLOCK_ELEMENTS})>", "\n\n")
+    out = F.regexp_replace(out, rf"(?is)<(?:/(?:{BLOCK_ELEMENTS})>|(?:{BLOCK_ELEMENTS})[^>]*>)", "\n\n")
     return decode_entities(F.regexp_replace(out, r"(?is)<[^>]+>", ""))
 
 
 def tidy_lines(text: Column) -> Column:
     """One space between words, one blank line between blocks, ends trimmed."""
-    out = F.regexp_replace(text, rf"[{SPACE_IN_LINE}]+", " ")
-    out = F.regexp_replace(out, r" ?\n ?", "\n")
+    out = F.regexp_replace(single_spaces(text), r" ?\n ?", "\n")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     out = F.regexp_replace(out, r"(?dm)^(#+)(?=[^#\n ])", "$1 ")
     return trim_space(out)

@@ -9,16 +9,22 @@ from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode White_Space class, and the narrower class that
-# ``\s`` denotes inside the tag patterns (no vertical tab).
-SPACE = r"\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-SPACE_IN_LINE = SPACE.replace(r"\n", "")
+# Code points of the Unicode White_Space property, and the
+# narrower class that ``\s`` denotes inside the tag patterns (no vertical tab).
+_SPACE_POINTS = (
+    *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000
+)
 TAG_SPACE = r"[\t\n\f\r ]"
 
-# The look-behinds make each run of spaces be tried once, from its first
-# character, so that long inner runs stay linear.
-_LEADING = rf"\A[{SPACE}]+"
-_TRAILING = rf"(?<![{SPACE}])[{SPACE}]+\z"
+SPACE_CHARS = "".join(map(chr, _SPACE_POINTS))
+
+# Spaces other than U+0020 and the line break. The wide ranges on the left let
+# most characters fail on one comparison.
+_ODD_SPACE = (
+    r"[\x09-\x0D\x7F-\u3000&&["
+    + "".join(f"\\u{p:04X}" for p in _SPACE_POINTS if p not in (0x0A, 0x20))
+    + "]]"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,33 +33,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"{_LEADING}|{_TRAILING}", "")
+    return F.trim(c, F.lit(SPACE_CHARS))
 
 
 def ltrim_space(c: Column) -> Column:
-    return F.regexp_replace(c, _LEADING, "")
+    return F.ltrim(c, F.lit(SPACE_CHARS))
 
 
 def rtrim_space(c: Column) -> Column:
-    return F.regexp_replace(c, _TRAILING, "")
+    return F.rtrim(c, F.lit(SPACE_CHARS))
 
 
-def is_blank(c: Column) -> Column:
-    return ~c.rlike(rf"[^{SPACE}]")
+def single_spaces(c: Column) -> Column:
+    """Runs of spaces within a line become one U+0020."""
+    return F.regexp_replace(F.regexp_replace(c, _ODD_SPACE, " "), "  +", " ")
 
 
 def collapse_spaces(c: Column) -> Column:
     """Runs of spaces, line ends included, become one; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    return F.trim(single_spaces(F.replace(c, F.lit("\n"), F.lit(" "))))
 
 
 def word_count(c: Column) -> Column:
     """Number of space-separated words; 0 for blank text."""
-    return (
-        F.when(is_blank(c), F.lit(0))
-        .otherwise(F.size(F.split(trim_space(c), rf"[{SPACE}]+")))
-        .cast("bigint")
-    )
+
+    def count(text: Column) -> Column:
+        words = F.size(F.split(F.regexp_replace(text, _ODD_SPACE, " "), "[ \n]+"))
+        return F.when(text == "", F.lit(0)).otherwise(words).cast("bigint")
+
+    return let(trim_space(c), count)
 
 
 def content_hash(c: Column) -> Column:

@@ -6,6 +6,8 @@ deduplicated inside that row and no link is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,47 +27,55 @@ def clean_hrefs(pages: DataFrame) -> DataFrame:
     return cleaned.filter(H.is_followable(F.col("href")))
 
 
-@remembered
-def _resolved(href: str, base: str) -> Column:
-    return U.resolve(F.col(href), F.col(base))
+def _each_link(url: str, html: str, build: Callable[[Column, Column, Column], Column]) -> Column:
+    """Array of ``build(link, target, base)`` over a page's followable links.
 
+    ``link`` is ``struct(pos, href)``. The page's URL is split once, and every
+    link is resolved once, inside the page's row.
+    """
 
-@remembered
-def _canonical(target: str, base: str) -> Column:
-    return U.canonical(F.col(target), F.col(base))
+    def of_page(base: Column) -> Column:
+        raw = F.transform(
+            H.hrefs(H.body(F.col(html))),
+            lambda h, i: F.struct(i.alias("pos"), H.clean_href(h).alias("href")),
+        )
+        kept = F.filter(raw, lambda x: H.is_followable(x["href"]))
+        return F.transform(kept, lambda x: let(U.resolve(x["href"], base), lambda t: build(x, t, base)))
+
+    return let(U.split_url(F.col(url)), of_page)
 
 
 @remembered
-def _split(url: str) -> Column:
-    return U.split_url(F.col(url))
+def _resolved(url: str, html: str) -> Column:
+    return _each_link(
+        url, html, lambda x, t, _: F.struct(x["pos"].alias("pos"), x["href"].alias("href"), U.render(t).alias("resolved"))
+    )
 
 
-def _targets(pages: DataFrame) -> DataFrame:
-    # The page's URL is split once per page, before its links fan out.
-    split = pages.select("url", "html", _split("url").alias("base"))
-    raw = split.select("url", "base", F.posexplode(H.hrefs(H.body(F.col("html")))).alias("pos", "href"))
-    cleaned = raw.withColumn("href", H.clean_href(F.col("href"))).filter(H.is_followable(F.col("href")))
-    return cleaned.withColumn("target", _resolved("href", "base")).filter(F.col("target").isNotNull())
+@remembered
+def _classified(url: str, html: str) -> Column:
+    return _each_link(
+        url,
+        html,
+        lambda x, t, base: F.struct(
+            x["pos"].alias("pos"),
+            x["href"].alias("href"),
+            U.canonical(t, base).alias("link_url"),
+            U.link_type(t, base).alias("link_type"),
+        ),
+    )
 
 
 def resolved_links(pages: DataFrame) -> DataFrame:
     """``(page_url, pos, href, resolved)``; unparsable links are dropped."""
-    return _targets(pages).select(F.col("url").alias("page_url"), "pos", "href", U.render(F.col("target")).alias("resolved"))
+    each = pages.select(F.col("url").alias("page_url"), F.inline(_resolved("url", "html")))
+    return each.filter(F.col("resolved").isNotNull())
 
 
 def classified_links(pages: DataFrame) -> DataFrame:
     """``(page_url, pos, href, link_url, link_type)`` of every http(s) link."""
-    return (
-        _targets(pages)
-        .select(
-            F.col("url").alias("page_url"),
-            "pos",
-            "href",
-            _canonical("target", "base").alias("link_url"),
-            U.link_type(F.col("target"), F.col("base")).alias("link_type"),
-        )
-        .filter(F.col("link_url").isNotNull())
-    )
+    each = pages.select(F.col("url").alias("page_url"), F.inline(_classified("url", "html")))
+    return each.filter(F.col("link_url").isNotNull())
 
 
 def _tag(target: Column, base: Column) -> Column:
@@ -90,13 +100,9 @@ def _first_of_each_url(tagged: Column) -> Column:
     return let(F.array_distinct(tagged), dedup)
 
 
-def _link_array(url: Column, html: Column) -> Column:
-    def of_page(base: Column) -> Column:
-        kept = F.filter(F.transform(H.hrefs(H.body(html)), H.clean_href), H.is_followable)
-        tagged = F.transform(kept, lambda h: let(U.resolve(h, base), lambda t: _tag(t, base)))
-        return _first_of_each_url(F.filter(tagged, lambda t: t.isNotNull()))
-
-    return let(U.split_url(url), of_page)
+def _link_array(url: str, html: str) -> Column:
+    tagged = _each_link(url, html, lambda _, t, base: _tag(t, base))
+    return _first_of_each_url(F.filter(tagged, lambda t: t.isNotNull()))
 
 
 def _with_refresh(links: Column, html: Column, start: Column) -> Column:
@@ -124,12 +130,12 @@ def _with_refresh(links: Column, html: Column, start: Column) -> Column:
 
 @remembered
 def _plain_links(url: str, html: str) -> Column:
-    return _link_array(F.col(url), F.col(html))
+    return _link_array(url, html)
 
 
 @remembered
 def _links_and_refresh(url: str, html: str, start: str) -> Column:
-    return _with_refresh(_link_array(F.col(url), F.col(html)), F.col(html), U.split_url(F.col(start)))
+    return _with_refresh(_link_array(url, html), F.col(html), U.split_url(F.col(start)))
 
 
 def site_root(url: Column) -> Column:
@@ -180,24 +186,27 @@ def canonical_dups(raw_urls: DataFrame) -> DataFrame:
     )
 
 
-def canonical_urls(pages: DataFrame) -> DataFrame:
-    """``(page_url, raw, canonical)``: the page's own URL and each cleaned href."""
-    split = pages.select("url", "html", _split("url").alias("base"))
-    spellings = F.concat(F.array(F.col("url")), F.transform(H.hrefs(H.body(F.col("html"))), H.clean_href))
-    raw = split.select(F.col("url").alias("page_url"), "base", F.explode(spellings).alias("raw"))
-    return raw.select("page_url", "raw", _canonical_of("raw", "base").alias("canonical")).filter(
-        F.col("canonical").isNotNull()
-    )
+@remembered
+def _spellings(url: str, html: str) -> Column:
+    def of_page(base: Column) -> Column:
+        raw = F.concat(F.array(F.col(url)), F.transform(H.hrefs(H.body(F.col(html))), H.clean_href))
+        return F.transform(
+            F.filter(raw, H.is_followable),
+            lambda r: F.struct(r.alias("raw"), U.canonical_url(r, base).alias("canonical")),
+        )
 
+    return let(U.split_url(F.col(url)), of_page)
 
-@remembered
-def _canonical_of(raw: str, base: str) -> Column:
-    return F.when(H.is_followable(F.col(raw)), U.canonical_url(F.col(raw), F.col(base)))
+
+def canonical_urls(pages: DataFrame) -> DataFrame:
+    """``(page_url, raw, canonical)``: the page's own URL and each cleaned href."""
+    each = pages.select(F.col("url").alias("page_url"), F.inline(_spellings("url", "html")))
+    return each.filter(F.col("canonical").isNotNull())
 
 
 def start_url_check(urls: DataFrame) -> DataFrame:
     """``(url, start_url, reason)``: whether a URL can start a run, and why not."""
-    split = urls.select("url", F.when(F.col("url") != "", _split("url")).alias("p"))
+    split = urls.select("url", F.when(F.col("url") != "", U.split_url(F.col("url"))).alias("p"))
     p = F.col("p")
     scheme = F.when(p["scheme"] == "", F.lit("https")).otherwise(p["scheme"])
     reason = (

@@ -33,7 +33,7 @@ def query(fn: Query) -> Query:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return I.table(spark, d, "pages")
+    return I.pages(spark, d)
 
 
 # --- links of pages ---------------------------------------------------------

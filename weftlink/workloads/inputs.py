@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import spread
 
 SITE = "https://site.example.com"
 START = f"{SITE}/p/0"
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table, spread for text work."""
+    return spread(table(spark, sf_dir, "pages"))
+
+
 def _suffix(i: Column) -> Column:
     return (
         F.when(i % 11 == 10, F.lit(".pdf"))
@@ -52,7 +58,7 @@ def site(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<a href="mailto:a@b.c">mail</a>'),
     )
     status = F.when(i % 17 == 16, F.lit(404)).when(i % 29 == 28, F.lit(500)).otherwise(F.lit(200))
-    return table(spark, sf_dir, "pages").select(
+    return pages(spark, sf_dir).select(
         "page_id",
         F.concat(F.lit(SITE), _page_path(i)).alias("url"),
         status.alias("status"),
