@@ -16,6 +16,8 @@ from .text import let, rtrim_space, trim_space
 _PATH_KEEP = r"A-Za-z0-9_.~$&+,/:;=@-"
 _HOST_KEEP = r"A-Za-z0-9_.~!$&'()*+,;=:\[\]<>\"-"
 _PATH_VALID = r"^[A-Za-z0-9._~!$&'()*+,;=:@/%\[\]-]*$"
+# A path that is its own canonical form: no escapes, empty or dot segments.
+_PLAIN_PATH = r"^(?!.*(?://|/\.\.?(?:/|$)))/[A-Za-z0-9._~!$&'()*+,;=:@/\[\]-]*$"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 _CONTROL = r"[\x00-\x1F\x7F]"
 _BAD_USER = r"[^A-Za-z0-9._~!$&'()*+,;=:%@-]"
@@ -54,77 +56,41 @@ def _escaped_path(raw: Column) -> Column:
     return F.when(raw.rlike(_PATH_VALID), raw).otherwise(encode_path(percent_decode(raw)))
 
 
+# A reference is cut by patterns over its whole text: an optional scheme, an
+# authority after two slashes, a path, a query, a fragment.
+_SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
+_BEFORE_AUTHORITY = f"(?:{_SCHEME}//|//(?!/))"
+_PATH = f"^(?:{_BEFORE_AUTHORITY}[^/?#]*|{_SCHEME})?([^?#]*)"
+
+
 def split_url(url: Column) -> Column:
     """``struct(scheme, opaque, user, host, path, query)``, or NULL if unparsable.
 
     ``query`` keeps its question mark, ``user`` its at sign; the path is still
     encoded. The fragment is dropped.
     """
+    parts = F.struct(
+        F.lower(F.regexp_extract(url, f"^({_SCHEME[:-1]}):", 1)).alias("scheme"),
+        url.rlike(f"^{_SCHEME}(?!/)").alias("opaque"),
+        F.regexp_extract(url, f"^{_BEFORE_AUTHORITY}([^/?#]*@)", 1).alias("user"),
+        percent_decode(F.regexp_extract(url, f"^{_BEFORE_AUTHORITY}(?:[^/?#]*@)?([^/?#@]*)", 1)).alias("host"),
+        F.regexp_extract(url, _PATH, 1).alias("path"),
+        F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
+    )
+    # No control characters, no colon in a first segment that is no scheme, and
+    # no broken escape in the fragment.
+    readable = ~url.rlike(rf"{_CONTROL}|^(?!{_SCHEME})[^/?#]*:|#.*{_BAD_ESCAPE}")
 
-    def from_parts(p: Column) -> Column:
-        before, query, scheme, fragment = p["before"], p["query"], p["scheme"], p["fragment"]
-        rest = F.when(scheme == "", before).otherwise(F.substr(before, F.length(scheme) + 2))
-        return let(
-            F.struct(rest.alias("rest"), F.lower(scheme).alias("scheme"), query.alias("query"), fragment.alias("fragment")),
-            from_rest,
-        )
-
-    def from_rest(p: Column) -> Column:
-        rest, scheme = p["rest"], p["scheme"]
-        has_authority = rest.startswith("//") & ((scheme != "") | ~rest.startswith("///"))
-        authority = F.when(has_authority, F.substring_index(F.substr(rest, F.lit(3)), "/", 1)).otherwise(F.lit(""))
-        path = F.when(has_authority, F.substr(rest, F.length(authority) + 3)).otherwise(rest)
-        colon_first = (scheme == "") & ~rest.startswith("/") & F.substring_index(rest, "/", 1).contains(":")
-        bad = colon_first | p["fragment"].rlike(_BAD_ESCAPE)
-        host = F.substring_index(authority, "@", -1)
-        return let(
-            F.struct(
-                scheme.alias("scheme"),
-                ((scheme != "") & ~rest.startswith("/")).alias("opaque"),
-                F.left(authority, F.length(authority) - F.length(host)).alias("user"),
-                percent_decode(host).alias("host"),
-                path.alias("path"),
-                p["query"].alias("query"),
-                bad.alias("bad"),
-            ),
-            checked,
-        )
-
-    def checked(p: Column) -> Column:
+    def valid(p: Column) -> Column:
         host = p["host"]
-        bad_host = F.when(
-            host != "",
+        bad_host = F.when(host == "", F.lit(False)).otherwise(
             host.rlike(_BAD_HOST)
-            | F.when(host.startswith("["), ~host.rlike(_BRACKETED)).otherwise(host.rlike(_BAD_PORT)),
-        ).otherwise(F.lit(False))
-        bad_path = ~p["opaque"] & p["path"].rlike(_BAD_ESCAPE)
-        bad = p["bad"] | host.isNull() | bad_host | bad_path | p["user"].rlike(_BAD_USER)
-        return F.when(
-            ~bad,
-            F.struct(
-                p["scheme"].alias("scheme"),
-                p["opaque"].alias("opaque"),
-                p["user"].alias("user"),
-                host.alias("host"),
-                p["path"].alias("path"),
-                p["query"].alias("query"),
-            ),
-        )
-
-    def cut(u: Column) -> Column:
-        no_fragment = F.substring_index(u, "#", 1)
-        before = F.substring_index(no_fragment, "?", 1)
-        return let(
-            F.struct(
-                before.alias("before"),
-                F.substr(no_fragment, F.length(before) + 1).alias("query"),
-                F.regexp_extract(before, "^([A-Za-z][A-Za-z0-9+.-]*):", 1).alias("scheme"),
-                F.substr(u, F.length(no_fragment) + 1).alias("fragment"),
-            ),
-            from_parts,
+            | F.when(host.startswith("["), ~host.rlike(_BRACKETED)).otherwise(host.rlike(_BAD_PORT))
         )
+        bad_path = ~p["opaque"] & p["path"].rlike(_BAD_ESCAPE)
+        return ~(host.isNull() | bad_host | bad_path | p["user"].rlike(_BAD_USER))
 
-    return F.when(~url.rlike(_CONTROL), let(url, cut))
+    return F.when(readable, let(parts, lambda p: F.when(valid(p), p)))
 
 
 def _fold_dots(segments: Column) -> Column:
@@ -145,18 +111,15 @@ def _remove_dots(path: Column) -> Column:
         F.array_join(_fold_dots(F.split(path, "/", -1)), "/"),
         F.when(path.rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit("")),
     )
-    return F.when(path == "", path).when(
-        path.startswith("/") & ~path.rlike(r"/\.\.?(/|$)"), path
-    ).otherwise(let(joined, lambda j: F.when(j.startswith("//"), F.substr(j, F.lit(2))).otherwise(j)))
+    plain = (path == "") | (path.startswith("/") & ~path.rlike(r"/\.\.?(/|$)"))
+    return F.when(plain, path).otherwise(F.regexp_replace(joined, "^//", "/"))
 
 
 def _clean(path: Column) -> Column:
     """Cleaned decoded path: no ``.``, ``..`` or ``//``; a trailing slash stays."""
     kept = _fold_dots(F.filter(F.split(path, "/", -1), lambda s: s != ""))
-    folded = let(
-        F.concat(F.lit("/"), F.array_join(kept, "/")),
-        lambda c: F.when(path.endswith("/") & (c != "/"), F.concat(c, F.lit("/"))).otherwise(c),
-    )
+    tail = F.when(path.endswith("/"), F.lit("/")).otherwise(F.lit(""))
+    folded = F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), tail), "^//$", "/")
     return F.when(path == "", F.lit("/")).when(path.rlike(r"//|/\.\.?(/|$)"), folded).otherwise(path)
 
 
@@ -210,9 +173,8 @@ def canonical(target: Column, base: Column) -> Column:
         query = F.when(t["query"] == "", t["query"]).otherwise(rtrim_space(t["query"]))
         host = F.lower(F.when(t["host"] == "", base["host"]).otherwise(t["host"]))
         decoded = percent_decode(t["path"])
-        path = let(
-            decoded,
-            lambda d: let(_clean(d), lambda c: F.when(c == d, t["path"]).otherwise(encode_path(c))),
+        path = F.when(t["path"].rlike(_PLAIN_PATH), t["path"]).otherwise(
+            let(_clean(decoded), lambda c: F.when(c == decoded, t["path"]).otherwise(encode_path(c)))
         )
         return F.when(t["opaque"], F.concat(t["scheme"], F.lit(":"), t["path"], query)).otherwise(
             F.concat(t["scheme"], F.lit("://"), t["user"], _encode_host(host), path, query)

@@ -90,12 +90,15 @@ def _longest(rules: Column, path: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(hits, F.length)), F.lit(0))
 
 
+def with_verdict(hosted: DataFrame, url: str = "url") -> DataFrame:
+    """Turn a URL's joined rule lists into ``allowed``; no lists allow all."""
+    path = U.escaped_path_of(F.col(url))
+    disallow, allow = _longest(F.col("disallows"), path), _longest(F.col("allows"), path)
+    allowed = F.col("disallows").isNull() | (disallow == 0) | (allow >= disallow)
+    return hosted.withColumn("allowed", allowed).drop("robots_host", "allows", "disallows")
+
+
 def with_robots(urls: DataFrame, rules: DataFrame, url: str = "url", user_agent: str = USER_AGENT) -> DataFrame:
     """Add ``allowed``. Each URL meets one row per host, never one per rule."""
     facts = urls.withColumn("robots_host", U.host_of(F.col(url)))
-    joined = attach(facts, rule_lists(rules, user_agent), "robots_host", spread=url)
-    path = U.escaped_path_of(F.col(url))
-    disallow = _longest(F.col("disallows"), path)
-    allow = _longest(F.col("allows"), path)
-    allowed = F.col("disallows").isNull() | (disallow == 0) | (allow >= disallow)
-    return joined.withColumn("allowed", F.coalesce(allowed, F.lit(True))).drop("robots_host", "allows", "disallows")
+    return with_verdict(attach(facts, rule_lists(rules, user_agent), "robots_host", spread=url), url)

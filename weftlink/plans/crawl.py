@@ -2,8 +2,11 @@
 
 The link graph is extracted once and written bucketed by page, so each level
 shuffles only its frontier, not the graph. Every level is one written table; the
-driver holds nothing but per-partition row counts and the row that fills the
-page cap.
+driver holds nothing but row counts and the key that fills the page cap.
+
+Order is that of first arrival: by the order of the linking page, then by link
+position. A page's ``key`` spells the positions that lead to it, so within a
+depth keys sort in that order without any ranking.
 """
 
 from __future__ import annotations
@@ -16,12 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.text import remembered
 from ..operators.links import page_links_with_refresh
 from ..operators.reports import NO_RESPONSE, check_errors, status_text
-from ..operators.robots import BLOCKED, USER_AGENT, robots_rules, rule_lists, with_robots, _longest
-from ..session import new_table_path
+from ..operators.robots import BLOCKED, USER_AGENT, robots_rules, rule_lists, with_robots, with_verdict
+from ..session import new_table_path, stash
 
-_LEVEL_SCHEMA = "url string, ord bigint, parent_ord bigint, pos int, allowed boolean"
+_LEVEL_SCHEMA = "url string, key string, allowed boolean"
+# Hex digits of a link position: enough for every link a body can hold.
+_POS_DIGITS = 5
 # ``monotonically_increasing_id`` puts the partition above this bit and counts
 # rows from 0 below it.
 _PARTITION_BIT = 33
@@ -46,9 +52,7 @@ class Cutoff:
     """The admission that filled the page cap."""
 
     depth: int
-    ord: int
-    parent_ord: int
-    pos: int
+    key: str
 
 
 @dataclass
@@ -69,23 +73,23 @@ class CrawlRun:
 
     @cached_property
     def admitted(self) -> DataFrame:
-        """``(url, depth, ord, allowed)`` of every admitted URL."""
+        """``(url, depth, key, allowed)`` of every admitted URL."""
         if self.depths == 0:
             return self.spark.createDataFrame([], f"{_LEVEL_SCHEMA}, depth int")
         rows = _read_levels(self.spark, self.level_dir)
         if self.cutoff:
-            rows = rows.filter((F.col("depth") < self.cutoff.depth) | (F.col("ord") <= self.cutoff.ord))
+            rows = rows.filter((F.col("depth") < self.cutoff.depth) | (F.col("key") <= self.cutoff.key))
         return rows
 
     def pages(self) -> DataFrame:
-        """``(url, depth, ord, allowed, status, retrieved_ms)``; NULL status: no response."""
+        """``(url, depth, key, allowed, status, retrieved_ms)``; NULL status: no response."""
         known = self.snapshot.select("url", "status", "retrieved_ms", F.lit(True).alias("found"))
         joined = self.admitted.join(known, "url", "left")
         seen = F.col("allowed") & F.col("found")
         return joined.select(
             "url",
             "depth",
-            "ord",
+            "key",
             "allowed",
             F.when(seen, F.col("status")).alias("status"),
             F.when(seen, F.col("retrieved_ms")).alias("retrieved_ms"),
@@ -123,15 +127,17 @@ class CrawlRun:
         return check_errors(visited.select(F.col("url").alias("source"), F.col("url").alias("target"), "status"))
 
     def occurrences(self) -> DataFrame:
-        """Links of processed pages with the page's depth and order."""
-        origin = self.admitted.filter("allowed").select(F.col("url").alias("page_url"), "depth", "ord")
-        return self.links.join(origin, "page_url")
+        """Links of processed pages, with the depth and key they lead to."""
+        origin = self.admitted.filter("allowed").select(
+            F.col("url").alias("page_url"), (F.col("depth") + 1).alias("depth"), "key"
+        )
+        return self.links.join(origin, "page_url").withColumn("key", _next_key())
 
     def externals(self) -> DataFrame:
         """``(url, source)``: each external URL with the first page that links it."""
         if not self.params.allow_external:
             return self.spark.createDataFrame([], "url string, source string")
-        first = F.min(F.struct("depth", "ord", "pos", "page_url"))
+        first = F.min(F.struct("depth", "key", "page_url"))
         outside = self.occurrences().filter(F.col("link_type") == "external")
         return outside.groupBy(F.col("link_url").alias("url")).agg(first.alias("f")).select("url", "f.page_url").withColumnRenamed(
             "page_url", "source"
@@ -161,17 +167,13 @@ class CrawlRun:
         """One row of counters."""
         internal = F.col("link_type") == "internal"
         survivor = internal & F.col("ext_ok")
-        key = F.struct("ord", "pos")
         late = F.lit(False)
         if self.cutoff:
-            cut = self.cutoff
-            late = (F.col("depth") >= cut.depth) | (
-                (F.col("depth") == cut.depth - 1)
-                & (key > F.struct(F.lit(cut.parent_ord).alias("ord"), F.lit(cut.pos).alias("pos")))
-            )
+            level = F.col("depth") == self.cutoff.depth
+            late = (F.col("depth") > self.cutoff.depth) | (level & (F.col("key") > self.cutoff.key))
         too_deep = F.lit(False)
         if self.params.max_depth >= 0:
-            too_deep = F.col("depth") + 1 > self.params.max_depth
+            too_deep = F.col("depth") > self.params.max_depth
         # Counted per target first: a target linked from everywhere is one row
         # per map task before it meets the visited cache.
         per_target = self.occurrences().groupBy("link_url", "link_type", "ext_ok").agg(
@@ -227,6 +229,10 @@ class CrawlRun:
         )
 
 
+def _next_key() -> Column:
+    return F.concat("key", F.lpad(F.hex("pos"), _POS_DIGITS, "0"))
+
+
 def _sum(condition: Column, value: str) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0))
 
@@ -239,11 +245,19 @@ def _read_levels(spark: SparkSession, level_dir: str) -> DataFrame:
     return spark.read.schema(f"{_LEVEL_SCHEMA}, depth int").parquet(level_dir)
 
 
-def canonical_start(spark: SparkSession, start_url: str) -> str | None:
-    """Canonical form of a start URL; ``https`` when it has no scheme."""
-    raw = start_url if "://" in start_url else f"https://{start_url.lstrip('/')}"
-    base = U.split_url(F.lit(raw))
-    return spark.range(1).select(U.canonical_url(F.lit(raw), base).alias("u")).first()["u"]
+@remembered
+def _canonical_start(raw: str) -> Column:
+    return U.canonical_url(F.col(raw), U.split_url(F.col(raw)))
+
+
+def _start_row(spark: SparkSession, params: CrawlParams):
+    """Canonical start URL (``https`` if it has no scheme), its host, and whether it may be crawled."""
+    given = params.start_url
+    raw = given if "://" in given else f"https://{given.lstrip('/')}"
+    url = spark.createDataFrame([(raw,)], "raw string").select(_canonical_start("raw").alias("url")).first()["url"]
+    start = F.lit(url)
+    ok = U.has_allowed_extension(start, params.allowed_extensions)
+    return spark.range(1).select(start.alias("url"), U.host_of(start).alias("host"), ok.alias("ok")).first()
 
 
 def cached_urls(
@@ -275,28 +289,32 @@ def link_graph(snapshot: DataFrame, start: str, params: CrawlParams) -> DataFram
     return spark.table(name)
 
 
-def _judge(urls: DataFrame, start_host: str, rules: DataFrame | None, params: CrawlParams) -> DataFrame:
-    if rules is None or params.ignore_robots:
+def _own_rules(rules: DataFrame | None, host: str, params: CrawlParams) -> DataFrame | None:
+    """The rule lists of the start host: one row, bounded by the limit on a body."""
+    if rules is None:
+        return None
+    return stash(rule_lists(rules, params.user_agent).filter(F.col("robots_host") == host), "robots")
+
+
+def _judge(urls: DataFrame, own_rules: DataFrame | None) -> DataFrame:
+    if own_rules is None:
         return urls.withColumn("allowed", F.lit(True))
-    # Internal pages share one host, so this is one row, bounded by the limit
-    # on a robots.txt body.
-    own = rule_lists(rules, params.user_agent).filter(F.col("robots_host") == start_host)
-    joined = urls.withColumn("robots_host", U.host_of(F.col("url"))).join(F.broadcast(own), "robots_host", "left")
-    path = U.escaped_path_of(F.col("url"))
-    disallow, allow = _longest(F.col("disallows"), path), _longest(F.col("allows"), path)
-    allowed = F.col("disallows").isNull() | (disallow == 0) | (allow >= disallow)
-    return joined.withColumn("allowed", allowed).drop("robots_host", "allows", "disallows")
-
-
-def _cap_row(level: DataFrame, depth: int, remaining: int) -> Cutoff:
-    """The ``remaining``-th admission of a level, found from partition counts."""
-    part = F.shiftright("ord", _PARTITION_BIT).alias("part")
-    counts = sorted((r["part"], r["count"]) for r in level.groupBy(part).count().collect())
-    for index, n in counts:
+    # Internal pages share the one host of ``own_rules``.
+    hosted = urls.withColumn("robots_host", U.host_of(F.col("url")))
+    return with_verdict(hosted.join(F.broadcast(own_rules), "robots_host", "left"))
+
+
+def _cap_key(level: DataFrame, remaining: int) -> str:
+    """Key of the ``remaining``-th admission of a level.
+
+    The keys are sorted over all tasks; only row counts of the sorted parts
+    come to the driver.
+    """
+    ranked = stash(level.select("key").orderBy("key").withColumn("id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("id", _PARTITION_BIT).alias("part")
+    for index, n in sorted((r["part"], r["count"]) for r in ranked.groupBy(part).count().collect()):
         if remaining <= n:
-            last = (index << _PARTITION_BIT) + remaining - 1
-            row = level.filter(F.col("ord") == last).first()
-            return Cutoff(depth, last, row["parent_ord"], row["pos"])
+            return ranked.filter(F.col("id") == (index << _PARTITION_BIT) + remaining - 1).first()["key"]
         remaining -= n
     raise ValueError("level holds fewer rows than the cap needs")
 
@@ -311,57 +329,55 @@ def crawl(
     """Crawl ``snapshot`` (``url, status, html, retrieved_ms``) from the start URL.
 
     A candidate passes extension, cache, depth, cap and seen tests in that
-    order. Depth is the true breadth-first depth, and pages are ordered by
-    first occurrence: by the order of the linking page, then link position.
+    order. Depth is the true breadth-first depth.
     """
     spark = snapshot.sparkSession
-    start = canonical_start(spark, params.start_url)
-    if start is None:
+    start = _start_row(spark, params)
+    if start["url"] is None:
         raise ValueError(f"not a start URL: {params.start_url!r}")
-    links = link_graph(snapshot, start, params)
+    links = link_graph(snapshot, start["url"], params)
     rules = robots_rules(robots_txt) if robots_txt is not None and not params.ignore_robots else None
     cached = None
     if visited is not None:
-        cached = cached_urls(visited, start, prior_exports if params.exporting else None)
+        cached = stash(cached_urls(visited, start["url"], prior_exports if params.exporting else None), "cached")
 
     level_dir = new_table_path(spark, "levels")
-    run = CrawlRun(params, start, snapshot, links, level_dir, 0, None, cached, rules, spark=spark)
-    seed = spark.createDataFrame([(start, 0, -1, -1)], "url string, ord bigint, parent_ord bigint, pos int")
-    host_row = seed.select(U.host_of(F.col("url")).alias("h"), U.has_allowed_extension(F.col("url"), params.allowed_extensions).alias("ok")).first()
-    if not host_row["ok"]:
+    run = CrawlRun(params, start["url"], snapshot, links, level_dir, 0, None, cached, rules, spark=spark)
+    if not start["ok"]:
         run.start_skipped = True
         return run
 
-    followed = links.filter((F.col("link_type") == "internal") & F.col("ext_ok"))
-    total, depth, fresh = 0, 0, seed
+    own_rules = _own_rules(rules, start["host"], params)
+    followed = links.filter((F.col("link_type") == "internal") & F.col("ext_ok")).select("page_url", "link_url", "pos")
+    fresh = spark.createDataFrame([(start["url"], "")], "url string, key string")
+    total, depth = 0, 0
     while True:
         path = f"{level_dir}/depth={depth}"
-        _judge(fresh, host_row["h"], rules, params).select("url", "ord", "parent_ord", "pos", "allowed").write.parquet(path)
+        _judge(fresh, own_rules).select("url", "key", "allowed").write.parquet(path)
         level = spark.read.schema(_LEVEL_SCHEMA).parquet(path)
         found = level.count()
         if found == 0:
             return run
         run.depths = depth + 1
         if params.max_pages > 0 and total + found >= params.max_pages:
-            run.cutoff = _cap_row(level, depth, params.max_pages - total)
+            run.cutoff = Cutoff(depth, _cap_key(level, params.max_pages - total))
             return run
         total += found
         depth += 1
         if 0 <= params.max_depth < depth:
             return run
-        fresh = _expand(followed, level, _read_levels(spark, level_dir), cached)
+        known = _read_levels(spark, level_dir).select("url")
+        fresh = _expand(followed, level, known if cached is None else known.unionByName(cached))
 
 
-def _expand(followed: DataFrame, level: DataFrame, admitted: DataFrame, cached: DataFrame | None) -> DataFrame:
-    """URLs first met on the pages of ``level``, in order of first occurrence."""
-    origin = level.filter("allowed").select(F.col("url").alias("page_url"), F.col("ord").alias("parent_ord"))
-    candidates = (
-        followed.join(origin, "page_url")
-        .groupBy(F.col("link_url").alias("url"))
-        .agg(F.min(F.struct("parent_ord", "pos")).alias("first"))
-    )
-    if cached is not None:
-        candidates = candidates.join(cached, "url", "left_anti")
-    fresh = candidates.join(admitted.select("url"), "url", "left_anti")
-    ordered = fresh.select("url", "first.parent_ord", "first.pos").orderBy("parent_ord", "pos")
-    return ordered.withColumn("ord", F.monotonically_increasing_id())
+def _expand(followed: DataFrame, level: DataFrame, known: DataFrame) -> DataFrame:
+    """URLs first met on the pages of ``level``, with the key of their first link.
+
+    Dropping known URLs and repeated links is one aggregation: both sides are
+    reduced per URL before they are shuffled.
+    """
+    origin = level.filter("allowed").select(F.col("url").alias("page_url"), "key")
+    met = followed.join(origin, "page_url").select(F.col("link_url").alias("url"), _next_key().alias("key"), F.lit(False).alias("known"))
+    before = known.select("url", F.lit(None).cast("string").alias("key"), F.lit(True).alias("known"))
+    merged = met.unionByName(before).groupBy("url").agg(F.min("key").alias("key"), F.bool_or("known").alias("known"))
+    return merged.filter(~F.col("known")).select("url", "key")

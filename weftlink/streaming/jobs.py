@@ -80,9 +80,13 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def run_boilerplate(pages: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    spark = pages.sparkSession
+def strip_stream(stream: DataFrame) -> DataFrame:
+    """Run a stream of ``(host, ord, text)`` through boilerplate removal."""
+    spark = stream.sparkSession
     job = BoilerplateStream(spark)
-    stream = table_stream(pages, files_per_batch)
     run_to_end(stream.writeStream.foreachBatch(job.process), spark)
     return job.output()
+
+
+def run_boilerplate(pages: DataFrame) -> DataFrame:
+    return strip_stream(table_stream(pages))
