@@ -169,13 +169,25 @@ def page_links_with_refresh(pages: DataFrame, start_url: str | None = None) -> D
 
 
 def link_type_counts(links: DataFrame) -> DataFrame:
-    """Internal and external links per page."""
+    """Internal and external links per page, from a link table."""
     return links.groupBy("page_url").agg(
         F.count_if(F.col("link_type") == "internal").alias("internal_links"),
         F.count_if(F.col("link_type") == "external").alias("external_links"),
     )
 
 
+def with_link_counts(pages: DataFrame, start_url: str | None = None) -> DataFrame:
+    """Pages with ``internal_links`` and ``external_links``, counted in the page's row."""
+    start = F.lit(start_url) if start_url else site_root(F.col("url"))
+    listed = pages.withColumn("start", start).withColumn("links", _links_and_refresh("url", "html", "start"))
+    internal = F.size(F.filter("links", lambda x: x.startswith("i"))).cast("bigint")
+    return (
+        listed.withColumn("internal_links", internal)
+        .withColumn("external_links", F.size("links") - F.col("internal_links"))
+        .drop("start", "links")
+    )
+
+
 def canonical_dups(raw_urls: DataFrame) -> DataFrame:
     """Spellings and occurrences per canonical URL, from ``(raw, canonical)``."""
     # Pre-aggregated per spelling, so a URL that is everywhere is one row per

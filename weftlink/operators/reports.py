@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import attach
+
 NO_RESPONSE = "no response"
 
 
@@ -31,8 +33,8 @@ def check_errors(checked: DataFrame) -> DataFrame:
 def broken_links(links: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Every link whose target fails, with its page.
 
-    Targets are joined once each, not once per link, so a target that is linked
-    from everywhere is one row of the join; only broken ones go back to links.
+    Targets are checked once each, not once per link. The broken ones then go
+    back to the links: broadcast if they are few, else with hot targets salted.
     """
     targets = links.filter(F.col("link_type") == "internal").select(F.col("link_url").alias("target")).distinct()
     statuses = snapshot.select(F.col("url").alias("target"), "status")
@@ -40,7 +42,8 @@ def broken_links(links: DataFrame, snapshot: DataFrame) -> DataFrame:
     internal = links.filter(F.col("link_type") == "internal").select(
         F.col("page_url").alias("source"), F.col("link_url").alias("target")
     )
-    return internal.join(bad, "target").select("source", "target", "type", "message", "status")
+    found = attach(internal, bad, "target", spread="source").filter(F.col("type").isNotNull())
+    return found.select("source", "target", "type", "message", "status")
 
 
 def snapshot_fetch(urls: DataFrame, snapshot: DataFrame, body_limit: int) -> DataFrame:

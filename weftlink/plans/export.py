@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..functions.markdown import document, page_markdown
 from ..functions.text import content_hash, let, remembered, word_count
 from ..operators.boilerplate import boilerplate_rules, strip_boilerplate
-from ..operators.lookup import attach
+from ..operators.links import with_link_counts
 from ..operators.reports import status_text
 from ..session import stash
 
@@ -42,16 +42,13 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return stripped.withColumn("text", F.coalesce("fallback", "stripped")).drop("fallback", "stripped")
 
 
-def exports(pages: DataFrame, link_counts: DataFrame) -> DataFrame:
+def exports(pages: DataFrame, start_url: str | None = None) -> DataFrame:
     """One document row per page.
 
-    ``pages`` has ``url, html, ord, status, retrieved_ms, fetched_at``;
-    ``link_counts`` has ``page_url, internal_links, external_links``.
+    ``pages`` has ``url, html, ord, status, retrieved_ms, fetched_at``. Links are
+    counted in the page's own row, so documents meet no link table.
     """
-    texts = page_texts(pages)
-    counted = texts.join(link_counts.withColumnRenamed("page_url", "url"), "url", "left").fillna(
-        0, ["internal_links", "external_links"]
-    )
+    counted = page_texts(with_link_counts(pages, start_url))
     error = F.when(F.col("status") >= 400, status_text(F.col("status"))).otherwise(F.lit(""))
     hashed = counted.withColumn("content_sha256", content_hash(F.col("text"))).withColumn(
         "word_count", word_count(F.col("text"))
@@ -84,11 +81,14 @@ def exports(pages: DataFrame, link_counts: DataFrame) -> DataFrame:
 def last_per_path(documents: DataFrame) -> DataFrame:
     """Pages that share a path overwrite each other: the last one stays.
 
-    The winner is chosen on ``(path, ord)`` alone; documents are then kept by a
-    semi join, and are never buffered in an aggregate.
+    Only the overwritten rows are looked up, by ``(path, ord)``. They are few as
+    a rule, and written first, so that their true size decides whether documents
+    have to be shuffled to drop them.
     """
-    winners = documents.groupBy("path").agg(F.max("ord").alias("ord"))
-    return documents.join(winners, ["path", "ord"], "left_semi")
+    pairs = documents.select("path", "ord")
+    last = pairs.groupBy("path").agg(F.max("ord").alias("last"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    overwritten = pairs.join(last, "path").filter(F.col("ord") < F.col("last")).select("path", "ord")
+    return documents.join(stash(overwritten, "overwritten"), ["path", "ord"], "left_anti")
 
 
 def mark_unchanged(documents: DataFrame, prior: DataFrame) -> DataFrame:

@@ -181,15 +181,9 @@ def export_path_collisions(spark, d):
     return export.path_collisions(targets.select(F.col("link_url").alias("url")))
 
 
-def _exports(spark, d) -> DataFrame:
-    pages = I.snapshot(spark, d)
-    counts = links.link_type_counts(links.page_links_with_refresh(pages.select("url", "html"), I.START))
-    return export.exports(pages, counts)
-
-
 @query
 def markdown_export(spark, d):
-    docs = export.last_per_path(_exports(spark, d))
+    docs = export.last_per_path(export.exports(I.snapshot(spark, d), I.START))
     return docs.select("host", "path", "url", "content_sha256", "word_count", "internal_links", "external_links", "content")
 
 
