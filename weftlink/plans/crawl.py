@@ -103,8 +103,12 @@ class CrawlRun:
         """Admitted URLs per depth."""
         return self.admitted.groupBy("depth").agg(F.count("*").alias("pages"))
 
-    def pages_report(self) -> DataFrame:
-        """``(url, status, error, retrieved_ms, markdown_path)`` per page."""
+    def pages_report(self, checked_exports: DataFrame | None = None) -> DataFrame:
+        """``(url, status, error, retrieved_ms, markdown_path, markdown_skipped_reason)``.
+
+        ``checked_exports`` gives ``(url, skip_reason)`` of pages whose export
+        was not written anew.
+        """
         status = F.coalesce("status", F.lit(0)).cast("int")
         error = (
             F.when(~F.col("allowed"), F.lit(BLOCKED))
@@ -112,15 +116,33 @@ class CrawlRun:
             .when(F.col("status") >= 400, status_text(F.col("status")))
             .otherwise(F.lit(""))
         )
-        path = F.when(F.col("status").isNotNull() & F.lit(self.params.exporting), U.export_path(F.col("url")))
-        return self.pages().select(
+        pages = self.pages()
+        if checked_exports is None:
+            pages = pages.withColumn("skip_reason", F.lit(None).cast("string"))
+        else:
+            pages = pages.join(checked_exports.select("url", "skip_reason"), "url", "left")
+        exported = F.col("status").isNotNull() & F.lit(self.params.exporting)
+        reason = F.when(exported, F.coalesce("skip_reason", F.lit(""))).otherwise(F.lit(""))
+        return pages.select(
             "url",
             status.alias("status"),
             error.alias("error"),
             F.coalesce("retrieved_ms", F.lit(0)).cast("bigint").alias("retrieved_ms"),
-            F.coalesce(path, F.lit("")).alias("markdown_path"),
+            F.when(exported & (reason == ""), U.export_path(F.col("url"))).otherwise(F.lit("")).alias("markdown_path"),
+            reason.alias("markdown_skipped_reason"),
         )
 
+    def write_reports(self, path: str, external_snapshot: DataFrame | None = None) -> None:
+        """Write pages, links, errors and counters as tables under ``path``."""
+        reports = {
+            "pages": self.pages_report(),
+            "links": self.occurrences().select("page_url", "pos", "link_url", "link_type"),
+            "errors": self.errors(external_snapshot),
+            "stats": self.stats(external_snapshot),
+        }
+        for name, report in reports.items():
+            report.write.mode("overwrite").parquet(f"{path}/{name}")
+
     def page_errors(self) -> DataFrame:
         """Errors of crawled pages; robots-blocked ones are no errors."""
         visited = self.pages().filter("allowed")

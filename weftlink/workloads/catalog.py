@@ -187,8 +187,8 @@ def markdown_export(spark, d):
     return docs.select("host", "path", "url", "content_sha256", "word_count", "internal_links", "external_links", "content")
 
 
-@query
-def export_unchanged(spark, d):
+def _unchanged(spark, d) -> DataFrame:
+    """Pages against an earlier export of every twelfth one, half of it outdated."""
     texts = export.page_texts(I.snapshot(spark, d).select("url", "html", "ord"))
     docs = texts.select("url", U.export_path(F.col("url")).alias("path"), "ord", content_hash(F.col("text")).alias("content_sha256"))
     known = F.when(F.col("ord") % 24 == 5, F.col("content_sha256")).otherwise(F.lit("stale"))
@@ -196,6 +196,11 @@ def export_unchanged(spark, d):
     return export.mark_unchanged(docs.drop("ord"), prior)
 
 
+@query
+def export_unchanged(spark, d):
+    return _unchanged(spark, d)
+
+
 @query
 def frontmatter_hash(spark, d):
     # Documents composed around each page's visible text, in the shapes a
@@ -310,7 +315,7 @@ def health_json(spark, d):
 
 @query
 def fetch_batches(spark, d):
-    requests = I.site(spark, d).select("url", U.host_of(F.col("url")).alias("host"), F.col("page_id").alias("ord"))
+    requests = I.site(spark, d, texts=False).select("url", U.host_of(F.col("url")).alias("host"), F.col("page_id").alias("ord"))
     return numbering.request_slots(requests, "host", "ord")
 
 
@@ -384,7 +389,7 @@ def crawl_stats(spark, d):
 
 @query
 def pages_report(spark, d):
-    return _crawl(spark, d, robots_on=True, exporting=True).pages_report()
+    return _crawl(spark, d, robots_on=True, exporting=True).pages_report(_unchanged(spark, d))
 
 
 @query
@@ -411,14 +416,14 @@ def external_check(spark, d):
 
 @query
 def cache_skip(spark, d):
-    pages = I.site(spark, d).select("url")
+    pages = I.site(spark, d, texts=False).select("url")
     skipped = cached_urls(I.prior_visited(spark, d), I.START)
     return pages.join(skipped, "url", "left_anti")
 
 
 @query
 def cache_skip_export(spark, d):
-    pages = I.site(spark, d).select("url")
+    pages = I.site(spark, d, texts=False).select("url")
     skipped = cached_urls(I.prior_visited(spark, d), I.START, I.prior_export_paths(spark, d))
     return pages.join(skipped, "url", "left_anti")
 

@@ -46,7 +46,9 @@ def _page_path(i: Column) -> Column:
     return F.concat(F.lit("/p/"), i.cast("string"), _suffix(i))
 
 
-def site(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+    """One site made of all pages; without ``texts``, for jobs that read no HTML."""
+    source = pages(spark, sf_dir) if texts else table(spark, sf_dir, "pages")
     i = F.col("page_id")
     right = F.concat(F.lit("//SITE.example.com/p//"), (2 * i + 2).cast("string"), _suffix(2 * i + 2), F.lit("#f"))
     ext = F.concat(F.lit("https://ext"), (i % 5).cast("string"), F.lit(".example.org/x?i="), (i % 7).cast("string"))
@@ -58,7 +60,7 @@ def site(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<a href="mailto:a@b.c">mail</a>'),
     )
     status = F.when(i % 17 == 16, F.lit(404)).when(i % 29 == 28, F.lit(500)).otherwise(F.lit(200))
-    return pages(spark, sf_dir).select(
+    return source.select(
         "page_id",
         F.concat(F.lit(SITE), _page_path(i)).alias("url"),
         status.alias("status"),
@@ -135,14 +137,14 @@ def robots_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prior_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visited cache of an earlier run, which had seen every sixth page."""
-    rows = site(spark, sf_dir).filter(F.col("page_id") % 6 == 5)
+    rows = site(spark, sf_dir, texts=False).filter(F.col("page_id") % 6 == 5)
     error = F.when(F.col("status") >= 400, F.concat(F.lit("status "), F.col("status").cast("string"))).otherwise(F.lit(""))
     return rows.select("url", "status", error.alias("error"), F.col("fetched_at").alias("last_visited"))
 
 
 def prior_export_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths an earlier run had exported: every twelfth page."""
-    rows = site(spark, sf_dir).filter(F.col("page_id") % 12 == 5)
+    rows = site(spark, sf_dir, texts=False).filter(F.col("page_id") % 12 == 5)
     return rows.select("page_id", "url", U.export_path(F.col("url")).alias("path"))
 
 

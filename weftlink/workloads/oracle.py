@@ -528,7 +528,7 @@ SELECT * FROM verdicts"""
 # --- crawl ------------------------------------------------------------------
 
 
-def crawl(robots: bool = False, cache: bool = False, pages: int = 0, depth: int = -1) -> str:
+def crawl(robots: bool = False, cache: bool = False, pages: int = 0, depth: int = -1, inputs: str = SITE) -> str:
     """``admitted(url, depth, key, allowed)`` of a run from the start page.
 
     ``key`` spells the link positions that lead to a page, so that within a
@@ -540,7 +540,7 @@ def crawl(robots: bool = False, cache: bool = False, pages: int = 0, depth: int
     prior = f"{PRIOR_VISITED}, " if cache else ""
     deep = f"WHERE depth <= {depth}" if depth >= 0 else ""
     cap = f"QUALIFY row_number() OVER (ORDER BY depth, key) <= {pages}" if pages else ""
-    return f"""{SITE}, {rules}{prior}{refreshed_links('site')},
+    return f"""{inputs}, {rules}{prior}{refreshed_links('site')},
 linked_urls AS (SELECT '{START}' AS url UNION SELECT link_url FROM linked), {verdicts},
 graph AS MATERIALIZED (SELECT page_url, pos, link_url FROM linked
   WHERE link_type = 'internal' AND {allowed_extension('link_url')} {not_cached}
@@ -570,9 +570,12 @@ ORACLE["crawl_max_depth"] = f"WITH RECURSIVE {crawl(depth=3)} {REACHED}"
 ORACLE["crawl_max_pages"] = f"WITH RECURSIVE {crawl(pages=40)} {REACHED}"
 ORACLE["crawl_robots"] = f"""WITH RECURSIVE {crawl(robots=True)}
 SELECT url, depth, coalesce(status, 0) AS status, {PAGE_ERROR} AS error FROM visited"""
-ORACLE["pages_report"] = f"""WITH RECURSIVE {crawl(robots=True)}
+ORACLE["pages_report"] = f"""WITH RECURSIVE {crawl(robots=True, inputs=EXPORT_TEXTS)},
+skips AS (SELECT url FROM texts WHERE page_id % 24 = 5)
 SELECT url, coalesce(status, 0) AS status, {PAGE_ERROR} AS error, coalesce(retrieved_ms, 0) AS retrieved_ms,
-  CASE WHEN status IS NULL THEN '' ELSE {export_path('url')} END AS markdown_path FROM visited"""
+  CASE WHEN status IS NULL OR url IN (FROM skips) THEN '' ELSE {export_path('url')} END AS markdown_path,
+  CASE WHEN status IS NOT NULL AND url IN (FROM skips) THEN 'unchanged content' ELSE '' END AS markdown_skipped_reason
+FROM visited"""
 ORACLE["page_errors"] = f"WITH RECURSIVE {crawl()} {errors(PAGE_CHECKS)}"
 ORACLE["error_report"] = f"""WITH RECURSIVE {crawl(robots=True)}, {CHECKED}
 {errors(PAGE_CHECKS)} UNION ALL {errors(EXTERNAL_CHECKS)}"""
