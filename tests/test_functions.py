@@ -50,6 +50,13 @@ def test_canonical_urls(one):
     assert dict(zip(CANONICAL, got)) == CANONICAL
 
 
+def test_plainly_canonical_urls_are_canonical(one):
+    urls = ["https://h.example/", "http://h:80/a/b.html", "https://h/a/", "https://h", "https://H/a", "https://h/a//b", "https://h/a/.", "https://h/a?x"]
+    plain = [u for u in urls if U.is_plainly_canonical(u)]
+    assert plain == urls[:3]
+    assert one(lambda v: U.canonical_url(v, U.split_url(v)), *plain) == plain
+
+
 def test_very_long_path_does_not_overflow(one):
     path = "/a" * 200_000
     assert one(lambda v: U.canonical_url(v, U.split_url(F.lit(BASE))), path) == "https://site.example.com" + path

@@ -6,6 +6,8 @@ brackets and hides the port. Unparsable input yields NULL throughout.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -183,6 +185,11 @@ def canonical(target: Column, base: Column) -> Column:
     return F.when(target["scheme"].isin("http", "https"), web(target))
 
 
+def is_plainly_canonical(url: str) -> bool:
+    """Whether a URL is evidently its own canonical form; False settles nothing."""
+    return re.match(r"^https?://[a-z0-9.-]+(:[0-9]+)?" + _PLAIN_PATH[1:], url) is not None
+
+
 def canonical_url(url: Column, base: Column) -> Column:
     """Canonical form of any spelling of a URL, relative ones against ``base``."""
     return let(base, lambda b: let(resolve(trim_space(url), b), lambda t: canonical(t, b)))

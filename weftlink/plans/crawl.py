@@ -62,7 +62,7 @@ class CrawlRun:
     params: CrawlParams
     start: str
     snapshot: DataFrame
-    links: DataFrame
+    links_table: str
     level_dir: str
     depths: int
     cutoff: Cutoff | None
@@ -71,6 +71,11 @@ class CrawlRun:
     start_skipped: bool = False
     spark: SparkSession = field(repr=False, default=None)
 
+    @property
+    def links(self) -> DataFrame:
+        """The link graph: ``(page_url, pos, link_url, link_type, ext_ok)``."""
+        return self.spark.table(self.links_table)
+
     @cached_property
     def admitted(self) -> DataFrame:
         """``(url, depth, key, allowed)`` of every admitted URL."""
@@ -132,6 +137,10 @@ class CrawlRun:
             reason.alias("markdown_skipped_reason"),
         )
 
+    def close(self) -> None:
+        """Forget the link table; its files stay until the shared folder is cleared."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.links_table}")
+
     def write_reports(self, path: str, external_snapshot: DataFrame | None = None) -> None:
         """Write pages, links, errors and counters as tables under ``path``."""
         reports = {
@@ -233,9 +242,9 @@ class CrawlRun:
             F.count_if(F.col("status").isNotNull()).alias("external_links_checked"),
             F.count_if(~F.col("allowed")).alias("blocked_externals"),
         )
-        # Three one-row tables side by side, joined on a constant key.
-        one = F.lit(1).alias("one")
-        row = totals.select(one, "*").join(pages.select(one, "*"), "one").join(outside.select(one, "*"), "one")
+        # Three one-row tables with columns of their own become one row.
+        rows = totals.unionByName(pages, True).unionByName(outside, True)
+        row = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
         return row.select(
             "pages_visited",
             "unique_internal_pages",
@@ -275,8 +284,10 @@ def _canonical_start(raw: str) -> Column:
 def _start_row(spark: SparkSession, params: CrawlParams):
     """Canonical start URL (``https`` if it has no scheme), its host, and whether it may be crawled."""
     given = params.start_url
-    raw = given if "://" in given else f"https://{given.lstrip('/')}"
-    url = spark.createDataFrame([(raw,)], "raw string").select(_canonical_start("raw").alias("url")).first()["url"]
+    url = given if "://" in given else f"https://{given.lstrip('/')}"
+    if not U.is_plainly_canonical(url):
+        raw = spark.createDataFrame([(url,)], "raw string")
+        url = raw.select(_canonical_start("raw").alias("url")).first()["url"]
     start = F.lit(url)
     ok = U.has_allowed_extension(start, params.allowed_extensions)
     return spark.range(1).select(start.alias("url"), U.host_of(start).alias("host"), ok.alias("ok")).first()
@@ -293,8 +304,8 @@ def cached_urls(
     return placed.join(prior_exports.select("path"), "path", "left_semi").select("url")
 
 
-def link_graph(snapshot: DataFrame, start: str, params: CrawlParams) -> DataFrame:
-    """Links of all pages, written once, bucketed by page."""
+def link_graph(snapshot: DataFrame, start: str, params: CrawlParams) -> str:
+    """Write the links of all pages once, bucketed by page; gives the table's name."""
     spark = snapshot.sparkSession
     links = page_links_with_refresh(snapshot.select("url", "html"), start).withColumn(
         "ext_ok", U.has_allowed_extension(F.col("link_url"), params.allowed_extensions)
@@ -308,7 +319,7 @@ def link_graph(snapshot: DataFrame, start: str, params: CrawlParams) -> DataFram
         .option("path", new_table_path(spark, "links"))
         .saveAsTable(name)
     )
-    return spark.table(name)
+    return name
 
 
 def _own_rules(rules: DataFrame | None, host: str, params: CrawlParams) -> DataFrame | None:
@@ -357,6 +368,8 @@ def crawl(
     start = _start_row(spark, params)
     if start["url"] is None:
         raise ValueError(f"not a start URL: {params.start_url!r}")
+    # Internal pages share the start's host; others are never read for links.
+    snapshot = snapshot.filter(U.host_of(F.col("url")) == start["host"])
     links = link_graph(snapshot, start["url"], params)
     rules = robots_rules(robots_txt) if robots_txt is not None and not params.ignore_robots else None
     cached = None
@@ -370,7 +383,7 @@ def crawl(
         return run
 
     own_rules = _own_rules(rules, start["host"], params)
-    followed = links.filter((F.col("link_type") == "internal") & F.col("ext_ok")).select("page_url", "link_url", "pos")
+    followed = spark.table(links).filter((F.col("link_type") == "internal") & F.col("ext_ok")).select("page_url", "link_url", "pos")
     fresh = spark.createDataFrame([(start["url"], "")], "url string, key string")
     total, depth = 0, 0
     while True:

@@ -166,7 +166,8 @@ def page_markdown(spark, d):
 
 @query
 def export_paths(spark, d):
-    return _pages(spark, d).select("url", U.export_path(_canonical_self("url")).alias("path"))
+    pages = _pages(spark, d).select("url", _canonical_self("url").alias("canonical"))
+    return pages.select("url", U.export_path(F.col("canonical")).alias("path"))
 
 
 @remembered
