@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.text import let, remembered
+from ..functions.text import let, remembered, trim_space
 
 
 def hrefs(pages: DataFrame) -> DataFrame:
@@ -78,9 +78,8 @@ def classified_links(pages: DataFrame) -> DataFrame:
     return each.filter(F.col("link_url").isNotNull())
 
 
-def _tag(target: Column, base: Column) -> Column:
-    mark = F.when(U.is_same_host(target, base), F.lit("i")).otherwise(F.lit("e"))
-    return F.concat(mark, U.canonical(target, base))
+def _tagged(url: Column, internal: Column) -> Column:
+    return F.concat(F.when(internal, F.lit("i")).otherwise(F.lit("e")), url)
 
 
 def _first_of_each_url(tagged: Column) -> Column:
@@ -100,42 +99,43 @@ def _first_of_each_url(tagged: Column) -> Column:
     return let(F.array_distinct(tagged), dedup)
 
 
-def _link_array(url: str, html: str) -> Column:
-    tagged = _each_link(url, html, lambda _, t, base: _tag(t, base))
+@remembered
+def _plain_links(url: str, html: str) -> Column:
+    tagged = _each_link(url, html, lambda _, t, base: _tagged(U.canonical(t, base), U.is_same_host(t, base)))
     return _first_of_each_url(F.filter(tagged, lambda t: t.isNotNull()))
 
 
-def _with_refresh(links: Column, html: Column, start: Column) -> Column:
-    def appended(parts: Column) -> Column:
-        listed, extra = parts["links"], parts["extra"]
-        known = F.array_contains(F.transform(listed, lambda x: F.substr(x, F.lit(2))), F.substr(extra, F.lit(2)))
-        return F.when(extra.isNull() | known, listed).otherwise(F.concat(listed, F.array(extra)))
-
-    def tagged(target: Column) -> Column:
-        # The refresh target belongs to the run's start page, and its type is
-        # judged after the start's host has filled in a missing one.
-        def of(s: Column) -> Column:
-            return let(
-                U.canonical_url(target, s),
-                lambda u: F.concat(
-                    F.when(U.host_of(u) == F.lower(s["host"]), F.lit("i")).otherwise(F.lit("e")), u
-                ),
-            )
-
-        return F.when(target != "", let(start, of))
-
-    extra = let(H.refresh_target(H.body(html)), tagged)
-    return let(F.struct(links.alias("links"), extra.alias("extra")), appended)
+@remembered
+def _links_and_refresh(url: str, html: str, start: str) -> Column:
+    """Tagged links of a page, its meta-refresh target last.
 
+    The target belongs to the run's start page: it resolves against that, and
+    its type is judged after the start's host has filled in a missing one.
+    """
 
-@remembered
-def _plain_links(url: str, html: str) -> Column:
-    return _link_array(url, html)
+    def entry(href: Column, refresh: bool) -> Column:
+        return F.struct(href.alias("href"), F.lit(refresh).alias("refresh"))
+
+    def of_page(bases: Column) -> Column:
+        source = H.body(F.col(html))
+        kept = F.filter(F.transform(H.hrefs(source), H.clean_href), H.is_followable)
+        refresh = F.filter(F.array(entry(trim_space(H.refresh_target(source)), True)), lambda x: x["href"] != "")
+        entries = F.concat(F.transform(kept, lambda h: entry(h, False)), refresh)
+        tagged = F.transform(
+            entries,
+            lambda x: let(
+                F.when(x["refresh"], bases["start"]).otherwise(bases["page"]),
+                lambda base: let(U.resolve(x["href"], base), lambda t: of_target(x["refresh"], t, base)),
+            ),
+        )
+        return _first_of_each_url(F.filter(tagged, lambda t: t.isNotNull()))
 
+    def of_target(refresh: Column, target: Column, base: Column) -> Column:
+        filled = (target["host"] == "") & ~target["opaque"] & refresh
+        return _tagged(U.canonical(target, base), filled | U.is_same_host(target, base))
 
-@remembered
-def _links_and_refresh(url: str, html: str, start: str) -> Column:
-    return _with_refresh(_link_array(url, html), F.col(html), U.split_url(F.col(start)))
+    bases = F.struct(U.split_url(F.col(url)).alias("page"), U.split_url(F.col(start)).alias("start"))
+    return let(bases, of_page)
 
 
 def site_root(url: Column) -> Column:
