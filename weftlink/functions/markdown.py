@@ -72,7 +72,7 @@ def page_markdown(html: Column, base: Column) -> Column:
     return let(F.regexp_replace(drop_unseen(html), _HEAD, " "), convert)
 
 
-def _go_quoted(text: Column) -> Column:
+def _quoted(text: Column) -> Column:
     return F.concat(
         F.lit('"'),
         F.regexp_replace(F.regexp_replace(text, r'([\\"])', r"\\$1"), "\n", r"\\n"),
@@ -107,7 +107,7 @@ def document(
         field("word_count", words),
         field("internal_links", internal_links),
         field("external_links", external_links),
-        F.when(error == "", F.lit("")).otherwise(field("error", _go_quoted(error))),
+        F.when(error == "", F.lit("")).otherwise(field("error", _quoted(error))),
         F.lit("---\n\n"),
         text,
         F.lit("\n"),
