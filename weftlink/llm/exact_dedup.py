@@ -88,7 +88,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows are told apart by a number of their own, given to them once they are
     written, so repeated and null ids do no harm.
     """
-    numbered = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    ids = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("doc_id"), "text")
-    kept = exact_dedup(ids).filter("kept").select(F.col("doc_id._row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    numbered = stash(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")), "numbered")
+    ids = numbered.select(F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", "n").alias("doc_id"), "row.text")
+    kept = exact_dedup(ids).filter("kept").select(F.col("doc_id.n").alias("n"))
+    return numbered.join(kept, "n", "left_semi").select("row.*")

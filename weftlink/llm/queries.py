@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from . import exact_dedup as dedup
-from . import licenses, mixing, packing, sharding, warc
+from . import licenses, mixing, ngram_join, packing, quality, repeats, sharding, vectors, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(configure(spark), sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark = configure(spark)
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(configure(spark), sf_dir, "documents"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(configure(spark), sf_dir, "embeddings"))
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = ngram_join.Jaccard(words=4, num=85, den=100)
+    return ngram_join.join_components(table(configure(spark), sf_dir, "documents"), rule)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(configure(spark), sf_dir, "documents"), TOKENIZER)
 
@@ -43,5 +61,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op5_warc, op6_sharding, op8_mixing, op10_license_scan)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_quality_classifier, op3_best_fit_packing, op4_suffix_array_dedup, op5_warc,
+        op6_sharding, op7_embedding_near_dedup, op8_mixing, op9_ngram_jaccard_join, op10_license_scan,
+    )
 }
