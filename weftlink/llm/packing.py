@@ -8,8 +8,10 @@ Documents then take the places of their length by rank, in parallel.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,41 +27,72 @@ END = struct.pack("<I", 0)
 FIT_ROUNDS = 60
 #: Rows of one length are ranked in this many parts.
 RANK_PARTS = 128
-#: Words whose tokens a worker remembers, at most.
+#: Words, and parts of words, whose tokens a worker remembers, at most.
 REMEMBER = 400_000
 _WORKER: dict = {}
 
+# Words that can be taken apart: ASCII and the Latin-1 letters, which stay as
+# they are under composition, and neither an apostrophe (it begins tokens of its
+# own) nor a bar (special tokens have one). All others are tokenised whole.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIMPLE = re.compile(rf"[!-&(-{{}}~{_LETTERS}]+").fullmatch
+_PARTS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}]+").findall
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
 
 class WordTokens:
     """Token ids as bytes by white-space separated word.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn. Words repeat; each is tokenised once while
-    it is remembered.
+    The tokenizer lower-cases, drops white space and never joins across it, nor
+    across the end of a run of letters; so a text's ids are those of its words
+    in turn, and a simple word's those of its runs. What repeats is tokenised
+    once while it is remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBER:
-            self.known.clear()
-        fresh = [w for w in set(words) if w not in self.known]
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if part.isalpha():
+                coded = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+                found = array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+            else:
+                found = self.whole(part)
+            if len(self.parts) < REMEMBER:
+                self.parts[part] = found
+        return found
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _SIMPLE(text):
+            text = text.lower()
+            found = self.part(text) if text.isalpha() else b"".join([self.part(p) for p in _PARTS(text)])
+        else:
+            found = self.whole(text)
+        if len(self.words) < REMEMBER:
+            self.words[word] = found
+        return found
 
     def __call__(self, text: str) -> bytes:
-        words = text.encode().split()
-        get = self.known.get
-        found = [get(w) for w in words]
-        if None in found:
-            self.learn(words)
-            get = self.known.get
-            found = [get(w) for w in words]
-        return b"".join(found)
+        known, new = self.words.get, self.word
+        return b"".join([known(w) or new(w) for w in text.encode().split()])
 
 
 def word_tokens(path: str) -> WordTokens:
