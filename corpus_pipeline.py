@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlink.llm import common, exact_dedup, mixing, packing
+from weftlink.llm import common, exact_dedup, mixing, ngram_join, packing, quality
 from weftlink.llm.queries import TOKENIZER
 from weftlink.session import configure, stash
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier, fitted on ``labels``, doesn't reject."""
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space, the one with the smallest id stays."""
     return exact_dedup.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles of similarity 0.8 or more: the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix to target weights takes it; rounded to whole documents."""
     return mixing.mix_documents(docs)
@@ -25,7 +35,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good_quality),
     ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
     ("mixing", mix),
     ("packing", pack),
 ]
