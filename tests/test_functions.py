@@ -131,21 +131,21 @@ def test_visible_text(one):
 
 
 def test_fallback_document(one):
-    page = '<title>Empty Page Title</title><meta name="description" content="This description summarises the page."><body></body>'
+    page = '<title>Bare Bed</title><meta name="description" content="Nothing sown here yet."><body></body>'
     assert one(H.fallback_document, page) == (
-        "# Empty Page Title\n\nThis description summarises the page.\n\nEmpty Page Title\n"
+        "# Bare Bed\n\nNothing sown here yet.\n\nBare Bed\n"
     )
     assert one(H.fallback_document, "<p></p>") == "*No textual content extracted.*\n"
 
 
 def test_markdown(one):
     html = (
-        "<html><head><title>T</title></head><body><h1>Welcome</h1><ul><li><a href='/page/0?a=1&amp;copy=2'>Page  0</a></li></ul>"
-        "<p><a href='mailto:a@b'>mail</a></p><pre><code>code block\n  &lt;0></code></pre><p>end</p></body></html>"
+        "<html><head><title>T</title></head><body><h1>Herbs</h1><ul><li><a href='/mint?a=1&amp;copy=2'>Garden  mint</a></li></ul>"
+        "<p><a href='mailto:a@b'>mail</a></p><pre><code>sow\n  &lt;3></code></pre><p>end</p></body></html>"
     )
     got = one(lambda v: M.page_markdown(v, U.split_url(F.lit("https://example.test/start"))), html)
     assert got == (
-        "# Welcome\n\n- [Page 0](https://example.test/page/0?a=1&copy=2)\n\nmail\n\n```\ncode block\n  <0>\n```\n\nend"
+        "# Herbs\n\n- [Garden mint](https://example.test/mint?a=1&copy=2)\n\nmail\n\n```\nsow\n  <3>\n```\n\nend"
     )
     assert one(lambda v: M.page_markdown(v, U.split_url(F.lit("https://e/"))), "<head><title>T</title></head><body></body>") == ""
 
@@ -164,3 +164,24 @@ def test_front_matter_hash(one):
     docs = ["---\nurl: x\n content_sha256:  abc \n---\n\nbody\n", "---\r\ncontent_sha256: d\r\n---\r\n", "content_sha256: x\n",
             "---\ncontent_sha256: x\n", "---\nurl: y\n---\n\ncontent_sha256: z\n"]
     assert one(M.front_matter_hash, *docs) == ["abc", "d", None, None, None]
+
+
+def test_tags_that_never_end_take_linear_time(spark):
+    import time
+
+    functions = [H.visible_text, H.hrefs, H.title, H.description, H.refresh_target]
+    for text in ("<", "<a ", "<script>", "<meta ", "<pre>", "<title>", "<!--"):
+        page = spark.createDataFrame([(text * (1_000_000 // len(text)),)], "v string")
+        for function in functions:
+            started = time.perf_counter()
+            page.select(F.length(function(F.col("v")).cast("string"))).first()
+            assert time.perf_counter() - started < 15, (function.__name__, text)
+
+
+def test_patterns_at_their_ends(one):
+    assert one(H.drop_unseen, "a<script>b</script>c<script>d") == "a c<script>d"
+    assert one(H.drop_unseen, "<SCRIPT x>b</Script ><i>é</script><!-- c --><!-- d") == " <!-- d".replace(" ", "  ", 1)
+    assert one(H.hrefs, "<a <a href=x><b href=y><a>href=z<a b='>' href=\"q>r\" href=s><abbr href='t'") == ["x", "q>r", "t"]
+    assert one(H.title, "<title<title>a</title>b</title>") == "a" and one(H.title, "<title>a") == ""
+    long = "<p>x</p>" * 800_000 + "<a href='/last'>"
+    assert one(lambda v: F.element_at(H.hrefs(v), -1), long) == "/last"

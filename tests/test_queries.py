@@ -5,6 +5,8 @@ import datetime
 import pytest
 
 import __spark_entry__ as driver
+from weftlink.workloads.catalog import QUERIES
+from weftlink.workloads.oracle import ORACLE
 from conftest import TESTDATA
 
 duckdb = pytest.importorskip("duckdb")
@@ -32,13 +34,14 @@ def normal(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= driver.queries().items() and ORACLE.items() <= driver.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sql, name):
-    frame = driver.queries()[name](spark, str(TESTDATA))
-    expected = sql.execute(driver.oracle_sql()[name])
+    frame = QUERIES[name](spark, str(TESTDATA))
+    expected = sql.execute(ORACLE[name])
     names = [c[0] for c in expected.description]
     assert sorted(names) == sorted(frame.columns)
     assert normal(frame.collect(), frame.columns) == normal(expected.fetchall(), names)

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .entities import decode_entities
 from .text import TAG_SPACE, let, single_spaces, trim_space
 
-# Body limit, link pattern, skipped link schemes, and the head
-# patterns. The loose tag patterns are part of the results: ``<li`` also covers
-# ``<link``, and ``<a`` any tag whose name starts with a.
-BODY_LIMIT = 5 * 1024 * 1024
+# Link pattern, skipped link schemes, head patterns, element lists
+# and the two phrases of the output. The loose tag patterns are part of the
+# results: ``<li`` also covers ``<link``, and ``<a`` any tag whose name starts
+# with a.
+#
+# Between two ``>`` only the first ``<a`` or ``<meta`` need be tried: what a later
+# one could match, the first can. The atomic groups say so; without them a page
+# of tags that never end takes time by the square of its length.
+_PIECE = r"(?:\G|(?<=>))"
 HREF = (
-    rf"(?i)<a[^>]*?(?<![0-9A-Za-z_])href{TAG_SPACE}*={TAG_SPACE}*"
+    rf"(?i){_PIECE}(?>[^>]*?<a)[^>]*?(?<![0-9A-Za-z_])href{TAG_SPACE}*={TAG_SPACE}*"
     rf"(\"[^\"]*\"|'[^']*'|[^\t\n\f\r \"'>]+)"
 )
 SKIPPED_SCHEMES = ("javascript:", "mailto:", "tel:")
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+TITLE = r"(?is)\A(?>.*?<title)(?>[^>]*>)(.*?)</title>"
 DESCRIPTION = (
-    rf"(?is)<meta[^>]+(?:name|property){TAG_SPACE}*={TAG_SPACE}*['\"](?:description|og:description)['\"]"
+    rf"(?is){_PIECE}(?>[^>]*?<meta)[^>]+(?:name|property){TAG_SPACE}*={TAG_SPACE}*['\"](?:description|og:description)['\"]"
     rf"[^>]*content{TAG_SPACE}*={TAG_SPACE}*['\"]([^'\"]+)['\"]"
 )
 REFRESH = (
-    rf"(?is)<meta[^>]+http-equiv{TAG_SPACE}*={TAG_SPACE}*['\"]refresh['\"]"
+    rf"(?is){_PIECE}(?>[^>]*?<meta)[^>]+http-equiv{TAG_SPACE}*={TAG_SPACE}*['\"]refresh['\"]"
     rf"[^>]*content{TAG_SPACE}*={TAG_SPACE}*['\"]([^'\"]+)['\"]"
 )
 UNSEEN_ELEMENTS = ("script", "style", "noscript", "template", "iframe")
@@ -34,8 +41,40 @@ EMPTY_PAGE = "*No textual content extracted.*\n"
 REFRESH_LABEL = "Meta refresh redirect target: "
 
 
-def body(c: Column) -> Column:
-    return F.left(c, F.lit(BODY_LIMIT))
+def until_last(c: Column, end: str, then: Callable[[Column], Column]) -> Column:
+    """Apply ``then`` to the text up to the last match of ``end``, and leave the rest.
+
+    For patterns that must close with ``end``: behind its last match they would
+    be tried at every opening, each time to the end of the text.
+    """
+
+    def halves(text: Column) -> Column:
+        n = F.length(F.regexp_extract(text, rf"(?is)\A.*{end}", 0))
+        return let(
+            F.struct(F.substr(text, F.lit(1), n).alias("a"), F.substr(text, n + 1).alias("b")),
+            lambda h: F.when(h["a"] == "", h["b"]).otherwise(F.concat(then(h["a"]), h["b"])),
+        )
+
+    return let(c, halves)
+
+
+def split_until(c: Column, end: str, pattern: str) -> Column:
+    """The text between the matches of ``pattern``, which must close with ``end``."""
+
+    def parts(text: Column) -> Column:
+        n = F.length(F.regexp_extract(text, rf"(?is)\A.*{end}", 0))
+        rest = F.substr(text, n + 1)
+        return let(
+            F.split(F.substr(text, F.lit(1), n), pattern, -1),
+            lambda p: F.concat(F.slice(p, 1, F.size(p) - 1), F.array(F.concat(F.element_at(p, -1), rest))),
+        )
+
+    return let(c, parts)
+
+
+def found_until(c: Column, end: str, pattern: str) -> Column:
+    """The matches of ``pattern``, which must close with ``end``."""
+    return let(c, lambda text: F.regexp_extract_all(F.regexp_extract(text, rf"(?is)\A.*{end}", 0), F.lit(pattern), F.lit(0)))
 
 
 def hrefs(html: Column) -> Column:
@@ -90,12 +129,16 @@ def drop_unseen(html: Column) -> Column:
     """Scripts, styles, other unseen elements and comments become one space."""
     out = html
     for tag in UNSEEN_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    return F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
+        out = until_last(out, f"</{tag}>", lambda c, t=tag: F.regexp_replace(c, rf"(?is)<{t}[^>]*>.*?</{t}>", " "))
+    return until_last(out, "-->", lambda c: F.regexp_replace(c, r"(?s)<!--.*?-->", " "))
 
 
 def tags_to_layout(html: Column) -> Column:
     """Tags become line breaks, bullets and heading marks; text is decoded."""
+    return decode_entities(until_last(html, ">", _strip_tags))
+
+
+def _strip_tags(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<br[^>]*>", "\n")
     out = F.regexp_replace(out, r"(?is)<li[^>]*>", "\n- ")
     out = F.regexp_replace(out, r"(?is)</li>", "")
@@ -103,7 +146,7 @@ def tags_to_layout(html: Column) -> Column:
         out = F.regexp_replace(out, rf"(?is)<h{level}[^>]*>", "\n\n" + "#" * level + " ")
     out = F.regexp_replace(out, r"(?is)</h[1-6]>", "\n\n")
     out = F.regexp_replace(out, rf"(?is)<(?:/(?:{BLOCK_ELEMENTS})>|(?:{BLOCK_ELEMENTS})[^>]*>)", "\n\n")
-    return decode_entities(F.regexp_replace(out, r"(?is)<[^>]+>", ""))
+    return F.regexp_replace(out, r"(?is)<[^>]+>", "")
 
 
 def tidy_lines(text: Column) -> Column:

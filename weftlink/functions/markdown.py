@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import urls
 from .entities import decode_entities
-from .html import HREF, clean_href, drop_unseen, is_followable, tags_to_layout, tidy_lines, unquote
+from .html import HREF, clean_href, drop_unseen, found_until, is_followable, split_until, tags_to_layout, tidy_lines, unquote, until_last
 from .text import collapse_spaces, let
 
 _HEAD = r"(?is)<head(?:[\t\n\f\r ][^>]*)?>.*?</head>|<title[^>]*>.*?</title>"
@@ -39,10 +39,10 @@ def _anchor(tag: Column, base: Column) -> Column:
 
 
 def _rewrite_anchors(html: Column, base: Column) -> Column:
-    anchors = F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0)), lambda a: _anchor(a, base))
+    anchors = F.transform(found_until(html, "</a>", _ANCHOR), lambda a: _anchor(a, base))
     return F.array_join(
         F.zip_with(
-            F.split(html, _ANCHOR, -1), F.concat(anchors, F.array(F.lit(""))), lambda text, a: F.concat(text, a)
+            split_until(html, "</a>", _ANCHOR), F.concat(anchors, F.array(F.lit(""))), lambda text, a: F.concat(text, a)
         ),
         "",
     )
@@ -61,15 +61,16 @@ def page_markdown(html: Column, base: Column) -> Column:
 
     def convert(source: Column) -> Column:
         prose = F.transform(
-            F.split(source, _PRE, -1), lambda h: tidy_lines(tags_to_layout(_rewrite_anchors(h, base)))
+            split_until(source, "</pre>", _PRE), lambda h: tidy_lines(tags_to_layout(_rewrite_anchors(h, base)))
         )
-        fences = F.transform(F.regexp_extract_all(source, F.lit(_PRE), F.lit(0)), _fence)
+        fences = F.transform(found_until(source, "</pre>", _PRE), _fence)
         blocks = F.flatten(
             F.zip_with(prose, F.concat(fences, F.array(F.lit(""))), lambda p, f: F.array(p, f))
         )
         return F.array_join(F.filter(blocks, lambda b: b != ""), "\n\n")
 
-    return let(F.regexp_replace(drop_unseen(html), _HEAD, " "), convert)
+    headless = until_last(drop_unseen(html), "</(?:head|title)>", lambda c: F.regexp_replace(c, _HEAD, " "))
+    return let(headless, convert)
 
 
 def _quoted(text: Column) -> Column:

@@ -18,7 +18,7 @@ from ..functions.text import let, remembered, trim_space
 
 def hrefs(pages: DataFrame) -> DataFrame:
     """``(page_url, pos, href)``: raw attribute values in document order."""
-    return pages.select(F.col("url").alias("page_url"), F.posexplode(H.hrefs(H.body(F.col("html")))).alias("pos", "href"))
+    return pages.select(F.col("url").alias("page_url"), F.posexplode(H.hrefs(F.col("html"))).alias("pos", "href"))
 
 
 def clean_hrefs(pages: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def _each_link(url: str, html: str, build: Callable[[Column, Column, Column], Co
 
     def of_page(base: Column) -> Column:
         raw = F.transform(
-            H.hrefs(H.body(F.col(html))),
+            H.hrefs(F.col(html)),
             lambda h, i: F.struct(i.alias("pos"), H.clean_href(h).alias("href")),
         )
         kept = F.filter(raw, lambda x: H.is_followable(x["href"]))
@@ -117,7 +117,7 @@ def _links_and_refresh(url: str, html: str, start: str) -> Column:
         return F.struct(href.alias("href"), F.lit(refresh).alias("refresh"))
 
     def of_page(bases: Column) -> Column:
-        source = H.body(F.col(html))
+        source = F.col(html)
         kept = F.filter(F.transform(H.hrefs(source), H.clean_href), H.is_followable)
         refresh = F.filter(F.array(entry(trim_space(H.refresh_target(source)), True)), lambda x: x["href"] != "")
         entries = F.concat(F.transform(kept, lambda h: entry(h, False)), refresh)
@@ -201,7 +201,7 @@ def canonical_dups(raw_urls: DataFrame) -> DataFrame:
 @remembered
 def _spellings(url: str, html: str) -> Column:
     def of_page(base: Column) -> Column:
-        raw = F.concat(F.array(F.col(url)), F.transform(H.hrefs(H.body(F.col(html))), H.clean_href))
+        raw = F.concat(F.array(F.col(url)), F.transform(H.hrefs(F.col(html)), H.clean_href))
         return F.transform(
             F.filter(raw, H.is_followable),
             lambda r: F.struct(r.alias("raw"), U.canonical_url(r, base).alias("canonical")),

@@ -46,9 +46,9 @@ def broken_links(links: DataFrame, snapshot: DataFrame) -> DataFrame:
     return found.select("source", "target", "type", "message", "status")
 
 
-def snapshot_fetch(urls: DataFrame, snapshot: DataFrame, body_limit: int) -> DataFrame:
+def snapshot_fetch(urls: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Fetch URLs from the snapshot: ``(url, status, error, body_chars)``."""
-    known = snapshot.select("url", "status", F.length(F.left("html", F.lit(body_limit))).cast("bigint").alias("body_chars"))
+    known = snapshot.select("url", "status", F.length("html").cast("bigint").alias("body_chars"))
     return urls.join(known, "url", "left").select(
         "url",
         F.coalesce("status", F.lit(0)).cast("int").alias("status"),

@@ -9,8 +9,7 @@ from ..functions import urls as U
 from ..functions.text import trim_space
 from .lookup import attach
 
-# Body limit and this engine's agent name, a parameter everywhere.
-ROBOTS_LIMIT = 512 * 1024
+# The message, and this engine's agent name, a parameter everywhere.
 USER_AGENT = "weftlink-bot/1.0"
 BLOCKED = "blocked by robots.txt"
 
@@ -21,14 +20,15 @@ def _rule(value: Column) -> Column:
 
 
 def robots_rules(robots_txt: DataFrame) -> DataFrame:
-    """``(host, agent, kind, rule)`` of every usable robots.txt.
+    """``(host, agent, kind, rule)`` of every usable robots.txt; one row per host.
 
-    A body is at most ``ROBOTS_LIMIT`` long, which bounds each host's window.
+    A host's window holds the lines of its body, which is one value of the
+    input; ``sources.tables.cap_bodies`` cuts bodies where that is wanted.
     """
     usable = robots_txt.filter(F.col("status") < 400)
     lines = usable.select(
         F.lower("host").alias("host"),
-        F.posexplode(F.split(F.left(F.col("body"), F.lit(ROBOTS_LIMIT)), "\n", -1)).alias("line", "raw"),
+        F.posexplode(F.split(F.col("body"), "\n", -1)).alias("line", "raw"),
     ).withColumn("text", trim_space(F.substring_index("raw", "#", 1)))
     colon = F.instr("text", ":")
     value = trim_space(F.substr(F.col("text"), colon + 1))

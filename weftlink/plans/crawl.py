@@ -27,7 +27,7 @@ from ..session import new_table_path, stash
 
 _LEVEL_SCHEMA = "url string, key string, allowed boolean"
 # Hex digits of a link position: enough for every link a body can hold.
-_POS_DIGITS = 5
+_POS_DIGITS = 8
 # ``monotonically_increasing_id`` puts the partition above this bit and counts
 # rows from 0 below it.
 _PARTITION_BIT = 33

@@ -19,7 +19,7 @@ UNCHANGED = "unchanged content"
 
 @remembered
 def _markdown(html: str, url: str) -> Column:
-    return let(U.split_url(F.col(url)), lambda base: page_markdown(H.body(F.col(html)), base))
+    return let(U.split_url(F.col(url)), lambda base: page_markdown(F.col(html), base))
 
 
 def page_markdowns(pages: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     both the search for boilerplate and its removal read it.
     """
     converted = page_markdowns(pages).withColumn("host", U.host_of(F.col("url")))
-    fallback = F.when(F.col("markdown") == "", H.fallback_document(H.body(F.col("html"))))
+    fallback = F.when(F.col("markdown") == "", H.fallback_document(F.col("html")))
     kept = stash(converted.withColumn("fallback", fallback).drop("html"), "markdown")
     source = kept.withColumnRenamed("markdown", "text")
     rules = boilerplate_rules(source.select("host", "ord", "text"))

@@ -11,6 +11,11 @@ from ..functions.text import trim_space
 VISITED_SCHEMA = "struct<visited:map<string,struct<url:string,status:int,error:string,lastVisited:timestamp>>>"
 
 
+def cap_bodies(table: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Cut stored bodies to ``limit`` characters, as a live download would be; not by default."""
+    return table if limit is None else table.withColumn(column, F.left(F.col(column), F.lit(limit)))
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """URLs of a text file, one per line."""
     return parse_url_list(spark.read.text(path).withColumnRenamed("value", "line"))

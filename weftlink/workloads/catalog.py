@@ -133,23 +133,23 @@ def page_descriptions(spark, d):
 
 @query
 def visible_text(spark, d):
-    return _pages(spark, d).select("page_id", H.visible_text(H.body(F.col("html"))).alias("text"))
+    return _pages(spark, d).select("page_id", H.visible_text(F.col("html")).alias("text"))
 
 
 @query
 def fallback_document(spark, d):
-    return I.site_meta(spark, d).select("url", H.fallback_document(H.body(F.col("html"))).alias("document"))
+    return I.site_meta(spark, d).select("url", H.fallback_document(F.col("html")).alias("document"))
 
 
 @query
 def word_counts(spark, d):
-    text = _pages(spark, d).select("page_id", H.visible_text(H.body(F.col("html"))).alias("text"))
+    text = _pages(spark, d).select("page_id", H.visible_text(F.col("html")).alias("text"))
     return text.select("page_id", word_count(F.col("text")).alias("words"))
 
 
 @query
 def content_hashes(spark, d):
-    text = _pages(spark, d).select("page_id", H.visible_text(H.body(F.col("html"))).alias("text"))
+    text = _pages(spark, d).select("page_id", H.visible_text(F.col("html")).alias("text"))
     return text.select("page_id", content_hash(F.col("text")).alias("content_sha256"))
 
 
@@ -264,7 +264,7 @@ def snapshot_fetch(spark, d):
         .select(F.col("link_url").alias("url"))
         .distinct()
     )
-    return reports.snapshot_fetch(wanted, site, H.BODY_LIMIT)
+    return reports.snapshot_fetch(wanted, site)
 
 
 @query
