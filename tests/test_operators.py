@@ -1,12 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftlink.operators import boilerplate as B
 from weftlink.operators import health, links, lookup, numbering, reports, robots
 from weftlink.plans import export
 from weftlink.sources import tables as S
-from weftlink.streaming.jobs import folder_stream, strip_stream
+from weftlink.streaming.jobs import folder_stream, strip_stream, write_new_urls
 
 
 def rows(df, *cols):
@@ -83,7 +84,7 @@ def test_salted_join_equals_broadcast_join(spark):
 
 def test_number_rows(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 5).cast("string").alias("k"), (F.col("id") * 13).alias("o"))
-    got = rows(numbering.number_rows(df, "k", "o", chunk=64), "k", "o", "rn")
+    got = rows(numbering.number_rows(df, "k", "o"), "k", "o", "rn")
     seen: dict[str, int] = {}
     for k, _, rn in got:
         seen[k] = seen.get(k, 0) + 1
@@ -211,19 +212,68 @@ def test_url_list_and_visited_cache(spark, tmp_path):
     assert rows(S.read_url_list(spark, str(tmp_path / "urls.txt")), "url") == [("http://b.example",), ("https://a.example/x",)]
     doc = '{"visited": {"u": {"url": "u", "status": 404, "error": "status 404", "lastVisited": "2024-01-01T00:00:05Z"}, "v": {"url": "v", "status": 200, "lastVisited": "2024-01-02T00:00:00.5Z"}}}'
     (tmp_path / "cache.json").write_text(doc)
-    loaded = S.read_visited_json(spark, str(tmp_path / "cache.json"))
+    loaded = S.read_visited_document(spark, str(tmp_path / "cache.json"))
     assert rows(loaded, "url", "status", "error") == [("u", 404, "status 404"), ("v", 200, "")]
     newer = spark.sql("select 'u' url, 200 status, '' error, timestamp'2024-02-01 00:00:00' last_visited")
     merged = S.upsert_visited(loaded, newer)
     assert rows(merged, "url", "status") == [("u", 200), ("v", 200)]
     S.write_visited_json(merged, str(tmp_path / "out"))
-    again = S.read_visited_json(spark, str(tmp_path / "out"))
-    lines = spark.read.text(str(tmp_path / "out")).withColumnRenamed("value", "document")
-    assert rows(S.parse_visited_json(lines), "url", "status") == [("u", 200), ("v", 200)]
+    assert rows(S.read_visited_json(spark, str(tmp_path / "out")), "url", "status") == [("u", 200), ("v", 200)]
     (tmp_path / "empty.json").write_text("")
     assert S.read_visited_json(spark, str(tmp_path / "empty.json")).count() == 0
 
 
+def test_visited_cache_round_trip(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    first = spark.range(1000, numPartitions=4).select(
+        F.concat(F.lit("u"), "id").alias("url"), F.lit(200).alias("status"), F.lit("").alias("error"),
+        F.timestamp_micros(F.lit(1_704_067_200_123_456) + F.col("id")).alias("last_visited"),
+    )
+    S.write_visited_json(first, path)
+    columns = ("url", "status", "error", "last_visited")
+    assert rows(S.read_visited_json(spark, path), *columns) == rows(first, *columns)
+    # The cache is changed and written to its own path, several times.
+    same_time = first.filter("url < 'u2'").withColumn("status", F.lit(404))
+    changed = same_time.count()
+    for _ in range(3):
+        S.write_visited_json(S.upsert_visited(S.read_visited_json(spark, path), same_time), path)
+    again = S.read_visited_json(spark, path)
+    assert again.count() == 1000 and again.filter("status = 404").count() == changed > 0
+    with pytest.raises(Exception):
+        (tmp_path / "two.json").write_text('{"visited": {}}\n{"visited": {}}')
+        S.read_visited_document(spark, str(tmp_path / "two.json")).collect()
+
+
+def test_exports_write_only_what_changed(spark, tmp_path):
+    path = str(tmp_path / "exports")
+    doc = lambda name, text: (name, f"---\ncontent_sha256: {text}\n---\n\n{text} at {name}", text)
+    table = lambda *docs: spark.createDataFrame(docs, "path string, content string, content_sha256 string")
+    assert rows(S.write_exports(table(doc("a", "1"), doc("b", "1")), path), "skip_reason") == [("",), ("",)]
+    later = [("a", doc("a", "1")[1] + " later", "1"), doc("c", "3")]
+    told = rows(S.write_exports(table(*later), path), "path", "skip_reason")
+    assert told == [("a", "unchanged content"), ("c", "")]
+    assert rows(S.write_exports(table(doc("b", "2")), path), "path", "skip_reason") == [("b", "")]
+    now = {r["path"]: r["content"] for r in S.current_exports(spark, path).collect()}
+    assert now == {d[0]: d[1] for d in (doc("a", "1"), doc("b", "2"), doc("c", "3"))}
+
+
+def test_row_numbers_for_hashed_orders_in_one_group(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.xxhash64("id").alias("o"))
+    got = sorted((r["o"], r["rn"]) for r in numbering.number_rows(df, "k", "o").collect())
+    assert [rn for _, rn in got] == list(range(1, 20_001))
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("source", "out", "progress"))
+    links = spark.createDataFrame([(f"u{i % 7}", f"p{i}") for i in range(20)], "url string, page_url string")
+    links.filter("page_url < 'p15'").write.parquet(source)
+    first = write_new_urls(folder_stream(spark, source, links.schema, 1), out, progress).count()
+    links.filter("page_url >= 'p15'").write.mode("append").parquet(source)
+    again = write_new_urls(folder_stream(spark, source, links.schema, 1), out, progress)
+    assert first <= 7 and rows(again, "url") == [(f"u{i}",) for i in range(7)]
+    assert spark.read.parquet(out).count() == 7
+
+
 def test_export_collisions_keep_the_last(spark):
     urls = spark.createDataFrame([("https://h/a", 1), ("https://h/a/", 2), ("https://h/b", 3)], "url string, ord bigint")
     assert rows(export.path_collisions(urls), "path", "pages") == [("h/a.md", 2)]

@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
+from ..session import stash
 
+# ``monotonically_increasing_id`` puts the partition above this bit and counts
+# rows from 0 below it.
+PARTITION_BIT = 33
 
-def number_rows(df: DataFrame, key: str, order: str, name: str = "rn", chunk: int = CHUNK) -> DataFrame:
-    """1-based position of each row within ``key``, by the integer ``order``.
 
-    ``order`` must not repeat within a key: then a chunk of its range holds at
-    most ``chunk`` rows, and is the largest thing one task sorts. Chunk counts,
-    summed up per key, give each chunk its offset.
+def number_rows(df: DataFrame, key: str, order: str, name: str = "rn") -> DataFrame:
+    """1-based position of each row within ``key``, by ``order`` of any type and spacing.
+
+    Rows are sorted over all tasks between sampled bounds, so that a key with
+    most of the rows spreads over many; the counts of its earlier parts, one row
+    per key and part, give each part its offset.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        chunked.groupBy(key, "_chunk")
-        .agg(F.count("*").alias("_n"))
-        .select(key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    within = Window.partitionBy(key, "_chunk").orderBy(order)
-    numbered = chunked.withColumn("_in_chunk", F.row_number().over(within))
-    return (
-        numbered.join(offsets, [key, "_chunk"])
-        .withColumn(name, F.col("_before") + F.col("_in_chunk"))
-        .drop("_chunk", "_before", "_in_chunk")
-    )
+    sorted_rows = df.repartitionByRange(key, order).sortWithinPartitions(key, order)
+    placed = stash(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("_part", F.shiftright("_at", PARTITION_BIT))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(key, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = placed.join(stash(parts, "parts"), [key, "_part"])
+    position = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return numbered.withColumn(name, position).drop("_at", "_part", "_first", "_before")
 
 
 def request_slots(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stash
 from .lookup import attach
 
 NO_RESPONSE = "no response"
@@ -36,6 +37,7 @@ def broken_links(links: DataFrame, snapshot: DataFrame) -> DataFrame:
     Targets are checked once each, not once per link. The broken ones then go
     back to the links: broadcast if they are few, else with hot targets salted.
     """
+    links = stash(links, "links")
     targets = links.filter(F.col("link_type") == "internal").select(F.col("link_url").alias("target")).distinct()
     statuses = snapshot.select(F.col("url").alias("target"), "status")
     bad = check_errors(targets.join(statuses, "target", "left").withColumn("source", F.col("target"))).drop("source")

@@ -23,7 +23,7 @@ from ..functions.text import remembered
 from ..operators.links import page_links_with_refresh
 from ..operators.reports import NO_RESPONSE, check_errors, status_text
 from ..operators.robots import BLOCKED, USER_AGENT, robots_rules, rule_lists, with_robots, with_verdict
-from ..session import new_table_path, stash
+from ..session import delete_path, new_table_path, stash
 
 _LEVEL_SCHEMA = "url string, key string, allowed boolean"
 # Hex digits of a link position: enough for every link a body can hold.
@@ -138,8 +138,16 @@ class CrawlRun:
         )
 
     def close(self) -> None:
-        """Forget the link table; its files stay until the shared folder is cleared."""
+        """Drop the link table and the levels with their files; reports can't be read afterwards."""
+        where = self.spark.sql(f"DESCRIBE FORMATTED {self.links_table}").filter("col_name = 'Location'").first()
         self.spark.sql(f"DROP TABLE IF EXISTS {self.links_table}")
+        for path in ([where["data_type"]] if where else []) + [self.level_dir]:
+            delete_path(self.spark, path)
+
+    def visited(self, at: Column) -> DataFrame:
+        """``(url, status, error, last_visited)`` of every admitted page, blocked and failed ones included, for the cache."""
+        report = self.pages_report()
+        return report.select("url", "status", "error", at.cast("timestamp").alias("last_visited"))
 
     def write_reports(self, path: str, external_snapshot: DataFrame | None = None) -> None:
         """Write pages, links, errors and counters as tables under ``path``."""

@@ -11,10 +11,10 @@ from ..functions.markdown import document, page_markdown
 from ..functions.text import content_hash, let, remembered, word_count
 from ..operators.boilerplate import boilerplate_rules, strip_boilerplate
 from ..operators.links import with_link_counts
+from ..operators.numbering import number_rows
 from ..operators.reports import status_text
 from ..session import stash
-
-UNCHANGED = "unchanged content"
+from ..sources.tables import UNCHANGED
 
 
 @remembered
@@ -78,6 +78,21 @@ def exports(pages: DataFrame, start_url: str | None = None) -> DataFrame:
     )
 
 
+def crawl_exports(run) -> DataFrame:
+    """One document row per page that a finished crawl fetched, in the order it arrived.
+
+    Pages that were never reached, blocked, beyond the cap, skipped by the cache
+    or without a response are no documents, and teach no boilerplate. The run's
+    snapshot needs ``fetched_at``.
+    """
+    fetched = run.admitted.filter("allowed").select("url", "depth", "key")
+    pages = run.snapshot.drop("ord").join(fetched, "url").filter(F.col("status").isNotNull())
+    # Ranks over all tasks: rows are range-sorted, and each part starts where the counts before it end.
+    keyed = pages.select("url", F.concat(F.lpad(F.hex("depth"), 8, "0"), F.lit(":"), "key").alias("arrival"))
+    ranked = number_rows(keyed.withColumn("site", F.lit(run.start)), "site", "arrival", "ord").select("url", "ord")
+    return exports(pages.drop("depth", "key").join(ranked, "url"), run.start)
+
+
 def last_per_path(documents: DataFrame) -> DataFrame:
     """Pages that share a path overwrite each other: the last one stays.
 

@@ -70,6 +70,23 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table's files, wherever Spark can reach them."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder; none if it isn't there."""
+    files, where = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input that has few splits.
 

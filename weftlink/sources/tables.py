@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.markdown import front_matter_hash
 from ..functions.text import trim_space
+from ..session import child_names, delete_path, stash
+
+UNCHANGED = "unchanged content"
 
 VISITED_SCHEMA = "struct<visited:map<string,struct<url:string,status:int,error:string,lastVisited:timestamp>>>"
 
@@ -29,15 +32,41 @@ def parse_url_list(lines: DataFrame) -> DataFrame:
     return kept.select(F.when(bare, F.concat(F.lit("https://"), F.col("url"))).otherwise(F.col("url")).alias("url"))
 
 
+def _complete_versions(spark: SparkSession, path: str) -> list[int]:
+    names = [n for n in child_names(spark, path) if n.startswith("version=")]
+    return sorted(int(n[8:]) for n in names if "_SUCCESS" in child_names(spark, f"{path}/{n}"))
+
+
 def read_visited_json(spark: SparkSession, path: str) -> DataFrame:
-    """Visited cache from its JSON file or files (one document each)."""
-    return parse_visited_json(spark.read.text(path, wholetext=True).withColumnRenamed("value", "document"))
+    """Visited cache as ``write_visited_json`` leaves it: the newest complete version, one document a line.
+
+    A folder or file without versions is read as lines as well; none is an empty cache.
+    """
+    versions = _complete_versions(spark, path)
+    newest = f"{path}/version={versions[-1]:08d}" if versions else path
+    return parse_visited_json(spark.read.text(newest).withColumnRenamed("value", "document"))
+
+
+def read_visited_document(spark: SparkSession, path: str) -> DataFrame:
+    """Visited cache from files that hold one JSON document each, over any lines.
+
+    Whatever follows the document is an error, so a file of lines isn't read in part.
+    """
+    text = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
+    # As the one element of an array: a second document or a rest makes it malformed or longer.
+    listed = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<{VISITED_SCHEMA}>", {"mode": "FAILFAST"})
+    one = F.when(F.size(listed) == 1, listed[0]).otherwise(F.raise_error(F.lit("more than one document in a file")).cast(VISITED_SCHEMA))
+    return _entries(text.select(one.alias("d")))
 
 
 def parse_visited_json(documents: DataFrame) -> DataFrame:
     """``(url, status, error, last_visited)``; a broken document is an error."""
     text = documents.filter(F.col("document") != "")
     parsed = text.select(F.from_json("document", VISITED_SCHEMA, {"mode": "FAILFAST"}).alias("d"))
+    return _entries(parsed)
+
+
+def _entries(parsed: DataFrame) -> DataFrame:
     entries = parsed.select(F.explode("d.visited").alias("key", "entry"))
     return entries.select(
         F.col("key").alias("url"),
@@ -53,27 +82,34 @@ def visited_entry_json(url: Column, status: Column, error: Column, last_visited:
         url.alias("url"),
         status.alias("status"),
         F.when(error != "", error).alias("error"),
-        F.date_format(last_visited, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("lastVisited"),
+        F.date_format(last_visited, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("lastVisited"),
     )
     return F.to_json(F.struct(F.create_map(url, entry).alias("visited")))
 
 
 def upsert_visited(prior: DataFrame, updates: DataFrame) -> DataFrame:
-    """Latest entry per URL of both tables."""
-    fields = F.struct("status", "error", "last_visited")
-    latest = (
-        prior.select("url", "status", "error", "last_visited")
-        .unionByName(updates.select("url", "status", "error", "last_visited"))
-        .groupBy("url")
-        .agg(F.max_by(fields, "last_visited").alias("e"))
-    )
+    """Latest entry per URL of both tables; of entries of one time an update, then the higher status and error."""
+    fields = F.struct("last_visited", "update", "status", "error")
+    columns = ["url", "status", "error", "last_visited"]
+    old = prior.select(*columns, F.lit(False).alias("update"))
+    every = old.unionByName(updates.select(*columns, F.lit(True).alias("update")))
+    latest = every.groupBy("url").agg(F.max(fields).alias("e"))
     return latest.select("url", "e.status", "e.error", "e.last_visited")
 
 
 def write_visited_json(visited: DataFrame, path: str) -> None:
-    """The cache as JSON documents, one entry each, written in parallel."""
+    """The cache as JSON lines, one entry each, as a new version under ``path``.
+
+    Readers see it once it is complete, so a cache can be read, changed and
+    written to its own path. Older versions go, except the one before.
+    """
+    spark = visited.sparkSession
+    versions = _complete_versions(spark, path)
+    number = versions[-1] + 1 if versions else 0
     document = visited_entry_json(*(F.col(c) for c in ("url", "status", "error", "last_visited")))
-    visited.select(document.alias("value")).write.text(path)
+    visited.select(document.alias("value")).write.mode("overwrite").text(f"{path}/version={number:08d}")
+    for old in versions[:-1]:
+        delete_path(spark, f"{path}/version={old:08d}")
 
 
 def read_export_hashes(exports: DataFrame) -> DataFrame:
@@ -82,11 +118,31 @@ def read_export_hashes(exports: DataFrame) -> DataFrame:
     return hashes.filter(F.col("content_sha256").isNotNull())
 
 
-def write_exports(documents: DataFrame, path: str) -> None:
-    """Documents as a table partitioned by host.
+def current_exports(spark: SparkSession, path: str) -> DataFrame:
+    """The newest document of each path: ``(path, content, version)``; empty before the first write."""
+    versions = _complete_versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], "path string, content string, version bigint")
+    known = [f"{path}/version={v:08d}" for v in versions]
+    rows = spark.read.option("basePath", path).parquet(*known)
+    newest = rows.groupBy("path").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["path", "version"], "left_semi").select("path", "content", F.col("version").cast("bigint").alias("version"))
+
+
+def write_exports(documents: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """Write new and changed documents as a further version; the others stay as they are.
 
-    Rows are spread by path as well, so that a large host is written by many
-    tasks; each task holds few hosts and opens few files.
+    ``documents`` (one row per path) are compared by the hash in their front
+    matter with what is there. Returns ``(path, skip_reason)``. Rows are spread
+    by a hash of the path, so no host is a folder or a task of its own.
     """
-    spread = documents.repartition("host", F.pmod(F.xxhash64("path"), F.lit(64)))
-    spread.write.partitionBy("host").mode("overwrite").parquet(path)
+    spark = documents.sparkSession
+    versions = _complete_versions(spark, path)
+    before = read_export_hashes(current_exports(spark, path)).withColumnRenamed("content_sha256", "prior_sha256")
+    marked = documents.join(before, "path", "left")
+    same = F.coalesce(F.col("prior_sha256") == F.col("content_sha256"), F.lit(False))
+    marked = stash(marked.withColumn("skip_reason", F.when(same, F.lit(UNCHANGED)).otherwise(F.lit(""))).drop("prior_sha256"), "export")
+    number = versions[-1] + 1 if versions else 0
+    fresh = marked.filter(F.col("skip_reason") == "").drop("skip_reason")
+    fresh.repartition(buckets, "path").write.mode("overwrite").parquet(f"{path}/version={number:08d}")
+    return marked.select("path", "skip_reason")

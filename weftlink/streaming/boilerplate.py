@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import boilerplate as B
 from ..operators.lookup import attach
 from ..operators.numbering import number_rows
-from ..session import new_table_path, stash
+from ..session import delete_path, new_table_path, stash
 
 _RECENT = "array<struct<rn:bigint,ord:bigint,header:string,footer:string>>"
 _STATE = (
@@ -30,10 +30,10 @@ _ALWAYS = -(1 << 63)
 class BoilerplateStream:
     """``process`` is a ``foreachBatch`` function over ``(host, ord, text)``."""
 
-    def __init__(self, spark: SparkSession, run: int = B.RUN):
+    def __init__(self, spark: SparkSession, run: int = B.RUN, folder: str | None = None):
         self.spark = spark
         self.run = run
-        self.folder = new_table_path(spark, "boilerplate")
+        self.folder = folder or new_table_path(spark, "boilerplate")
 
     def _state(self, batch_id: int) -> DataFrame:
         if batch_id < 0:
@@ -48,8 +48,8 @@ class BoilerplateStream:
         """
         pages = stash(batch.select("host", "ord", "text"), "arrived")
         before = self._state(batch_id - 1)
-        state = stash(self._advance(pages, before), "state")
-        state.write.mode("overwrite").parquet(f"{self.folder}/state-{batch_id}")
+        self._advance(pages, before).write.mode("overwrite").parquet(f"{self.folder}/state-{batch_id}")
+        state = self._state(batch_id)
         known = before.select("host", F.col("header_at").alias("had_header"), F.col("footer_at").alias("had_footer"))
         rules = state.join(known, "host", "left").select(
             "host",
@@ -61,6 +61,7 @@ class BoilerplateStream:
         stripped = B.strip_boilerplate(pages, rules)
         out = stripped.select("host", "ord", F.col("stripped").alias("text"))
         out.write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch_id}")
+        delete_path(self.spark, f"{self.folder}/state-{batch_id - 2}")
 
     def _advance(self, pages: DataFrame, before: DataFrame) -> DataFrame:
         fresh = number_rows(B.page_blocks(pages), "host", "ord")

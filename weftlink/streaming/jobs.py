@@ -18,11 +18,19 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SALTS = 16
 
 
-def table_stream(table: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """``table`` written to the shared folder and read back as a stream."""
-    path = new_table_path(table.sparkSession, "source")
-    table.write.parquet(path)
-    return folder_stream(table.sparkSession, path, table.schema, files_per_batch)
+BATCHES = 3
+
+
+def table_stream(table: DataFrame, order: str, batches: int = BATCHES) -> DataFrame:
+    """``table`` written to the shared folder and read back as a stream of micro-batches in ``order``."""
+    spark = table.sparkSession
+    path = new_table_path(spark, "source")
+    cuts = table.approxQuantile(order, [i / batches for i in range(1, batches)], 0.01) or [0.0] * (batches - 1)
+    part = sum((F.when(F.col(order) > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    for i in range(batches):
+        # One file each, as a batch is so many files; files arrive by their time of writing.
+        table.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return folder_stream(spark, path, table.schema, 1)
 
 
 def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -32,10 +40,14 @@ def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int |
     return reader.parquet(path)
 
 
-def run_to_end(writer: DataStreamWriter, spark: SparkSession) -> None:
-    """Process all that is available now, with state kept outside the heap."""
+def run_to_end(writer: DataStreamWriter, spark: SparkSession, progress: str | None = None) -> None:
+    """Process all that is available now, with state kept outside the heap.
+
+    A job that names its ``progress`` folder again goes on where it stopped.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    query = writer.option("checkpointLocation", new_table_path(spark, "progress")).trigger(availableNow=True).start()
+    where = progress or new_table_path(spark, "progress")
+    query = writer.option("checkpointLocation", where).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -49,44 +61,51 @@ def new_urls(stream: DataFrame, spread: str) -> DataFrame:
     return salted.dropDuplicates(["url", "salt"]).dropDuplicates(["url"]).select("url")
 
 
-def run_new_urls(links: DataFrame) -> DataFrame:
+def write_new_urls(links: DataFrame, out: str, progress: str | None = None) -> DataFrame:
+    """Append the new URLs of a stream of ``(url, page_url)`` to the table ``out``; gives that table."""
     spark = links.sparkSession
-    out = new_table_path(spark, "new-urls")
-    fresh = new_urls(table_stream(links), spread="page_url")
-    run_to_end(fresh.writeStream.format("parquet").option("path", out).outputMode("append"), spark)
+    fresh = new_urls(links, spread="page_url")
+    run_to_end(fresh.writeStream.format("parquet").option("path", out).outputMode("append"), spark, progress)
     return spark.read.schema("url string").parquet(out)
 
 
-def run_window_counts(probes: DataFrame, interval: str, lateness: str) -> DataFrame:
-    """Windowed probe counts; probes later than ``lateness`` are left out.
+def run_new_urls(links: DataFrame, order: str) -> DataFrame:
+    return write_new_urls(table_stream(links, order), new_table_path(links.sparkSession, "new-urls"))
+
+
+def write_window_counts(probes: DataFrame, interval: str, lateness: str, out: str, progress: str | None = None) -> DataFrame:
+    """Windowed counts of a stream of probes; those later than ``lateness`` are left out.
 
     Every micro-batch writes the windows it changed under its own number, so a
     repeated batch overwrites itself; the last version of a window counts.
     """
     spark = probes.sparkSession
-    out = new_table_path(spark, "windows")
-    counts = window_counts(table_stream(probes).withWatermark("ts", lateness), interval)
+    counts = window_counts(probes.withWatermark("ts", lateness), interval)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run_to_end(counts.writeStream.outputMode("update").foreachBatch(write), spark)
+    run_to_end(counts.writeStream.outputMode("update").foreachBatch(write), spark, progress)
     versions = spark.read.schema(f"{_ddl(counts)}, batch bigint").parquet(out)
     latest = versions.groupBy("window_start").agg(F.max_by(F.struct("probes", "failures"), "batch").alias("v"))
     return latest.select("window_start", "v.probes", "v.failures")
 
 
+def run_window_counts(probes: DataFrame, interval: str, lateness: str, order: str) -> DataFrame:
+    return write_window_counts(table_stream(probes, order), interval, lateness, new_table_path(probes.sparkSession, "windows"))
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def strip_stream(stream: DataFrame) -> DataFrame:
-    """Run a stream of ``(host, ord, text)`` through boilerplate removal."""
+def strip_stream(stream: DataFrame, folder: str | None = None, progress: str | None = None) -> DataFrame:
+    """Run a stream of ``(host, ord, text)`` through boilerplate removal, with its state and output in ``folder``."""
     spark = stream.sparkSession
-    job = BoilerplateStream(spark)
-    run_to_end(stream.writeStream.foreachBatch(job.process), spark)
+    job = BoilerplateStream(spark, folder=folder)
+    run_to_end(stream.writeStream.foreachBatch(job.process), spark, progress)
     return job.output()
 
 
 def run_boilerplate(pages: DataFrame) -> DataFrame:
-    return strip_stream(table_stream(pages))
+    return strip_stream(table_stream(pages, "ord"))

@@ -393,6 +393,18 @@ def pages_report(spark, d):
     return _crawl(spark, d, robots_on=True, exporting=True).pages_report(_unchanged(spark, d))
 
 
+@query
+def crawl_visited(spark, d):
+    return _crawl(spark, d, robots_on=True).visited(F.timestamp_seconds(F.lit(I.EPOCH)))
+
+
+@query
+def crawl_export(spark, d):
+    run = _crawl(spark, d, robots_on=True, exporting=True)
+    docs = export.last_per_path(export.crawl_exports(run))
+    return docs.select("path", "url", "ord", "content_sha256")
+
+
 @query
 def page_errors(spark, d):
     return _crawl(spark, d).page_errors()
@@ -434,13 +446,15 @@ def cache_skip_export(spark, d):
 
 @query
 def health_windows(spark, d):
-    return health.health_windows(jobs.run_window_counts(I.probes(spark, d), "1 hour", "31 days"))
+    return health.health_windows(jobs.run_window_counts(I.probes(spark, d), "1 hour", "31 days", "event_id"))
 
 
 @query
 def stream_new_urls(spark, d):
-    targets = links.page_links(I.site(spark, d).select("url", "html")).select(F.col("link_url").alias("url"), "page_url")
-    return jobs.run_new_urls(targets)
+    site = I.site(spark, d).select("url", "html", "page_id")
+    found = links.page_links(site.select("url", "html")).join(site.select(F.col("url").alias("page_url"), "page_id"), "page_url")
+    targets = found.select(F.col("link_url").alias("url"), "page_url", "page_id")
+    return jobs.run_new_urls(targets, "page_id")
 
 
 @query

@@ -164,6 +164,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://svc"), (F.col("user_id") % 10).cast("string"), F.lit(".example.com/")).alias("url"),
         F.when(e % 23 == 0, F.lit(503)).otherwise(F.lit(200)).alias("status"),
         (e % 500).alias("duration_ms"),
+        e.alias("event_id"),
     )
 
 

@@ -139,6 +139,7 @@ def visible(e: str) -> str:
 
 # --- inputs -----------------------------------------------------------------
 
+# The link pattern, and the tag patterns and phrases above and below.
 HREF = r"""(?i)<a[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
 
 
@@ -576,6 +577,15 @@ SELECT url, coalesce(status, 0) AS status, {PAGE_ERROR} AS error, coalesce(retri
   CASE WHEN status IS NULL OR url IN (FROM skips) THEN '' ELSE {export_path('url')} END AS markdown_path,
   CASE WHEN status IS NOT NULL AND url IN (FROM skips) THEN 'unchanged content' ELSE '' END AS markdown_skipped_reason
 FROM visited"""
+ORACLE["crawl_visited"] = f"""WITH RECURSIVE {crawl(robots=True)}
+SELECT url, coalesce(status, 0) AS status, {PAGE_ERROR} AS error, TIMESTAMP '2024-01-01' AS last_visited FROM visited"""
+ORACLE["crawl_export"] = f"""WITH RECURSIVE {crawl(robots=True, inputs=f"{SITE}, {markdown('site')}")},
+arrived AS (SELECT url, row_number() OVER (ORDER BY depth, key) AS ord FROM visited WHERE status IS NOT NULL),
+source AS (SELECT {host('a.url')} AS host, a.ord, markdown AS text, a.url FROM arrived a JOIN md ON md.url = a.url),
+{boilerplate('source')}, {stripped('source')},
+docs AS (SELECT {export_path('s.url')} AS path, s.url, s.ord, sha256(CASE WHEN s.text = '' THEN '' ELSE b.text END) AS content_sha256
+  FROM source s JOIN bare b ON b.ord = s.ord)
+SELECT path, url, ord, content_sha256 FROM docs QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord DESC) = 1"""
 ORACLE["page_errors"] = f"WITH RECURSIVE {crawl()} {errors(PAGE_CHECKS)}"
 ORACLE["error_report"] = f"""WITH RECURSIVE {crawl(robots=True)}, {CHECKED}
 {errors(PAGE_CHECKS)} UNION ALL {errors(EXTERNAL_CHECKS)}"""
