@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markdown import front_matter_hash
 from ..functions.text import trim_space
+from ..functions.urls import canonical_url, split_url
 from ..session import child_names, delete_path, stash
 
 UNCHANGED = "unchanged content"
@@ -32,6 +33,19 @@ def parse_url_list(lines: DataFrame) -> DataFrame:
     return kept.select(F.when(bare, F.concat(F.lit("https://"), F.col("url"))).otherwise(F.col("url")).alias("url"))
 
 
+def canonical_snapshot(snapshot: DataFrame) -> DataFrame:
+    """One row per canonical URL: the last fetch, by ``fetched_at``; of equal times the higher retrieved_ms and status.
+
+    Raw snapshots spell a page's URL in several ways and fetch it again; URLs
+    that have no canonical form are left out.
+    """
+    url = canonical_url(F.col("url"), split_url(F.col("url")))
+    known = snapshot.withColumn("url", url).filter(F.col("url").isNotNull())
+    rest = [c for c in snapshot.columns if c != "url"]
+    last = F.max_by(F.struct(*rest), F.struct("fetched_at", "retrieved_ms", "status"))
+    return known.groupBy("url").agg(last.alias("r")).select("url", "r.*")
+
+
 def _complete_versions(spark: SparkSession, path: str) -> list[int]:
     names = [n for n in child_names(spark, path) if n.startswith("version=")]
     return sorted(int(n[8:]) for n in names if "_SUCCESS" in child_names(spark, f"{path}/{n}"))

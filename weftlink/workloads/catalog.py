@@ -267,6 +267,20 @@ def snapshot_fetch(spark, d):
     return reports.snapshot_fetch(wanted, site)
 
 
+@query
+def snapshot_canonical(spark, d):
+    site = I.site(spark, d, texts=False).select("url", "status", "retrieved_ms", "fetched_at", "page_id")
+    # Every third page was fetched under another spelling too, an hour before or after.
+    i = F.col("page_id")
+    other = site.filter(i % 3 == 0).select(
+        F.concat(F.lit("HTTPS://SITE.example.com"), F.substring("url", 25, 10_000), F.lit("#top")).alias("url"),
+        F.lit(203).alias("status"),
+        "retrieved_ms",
+        F.timestamp_seconds(F.unix_timestamp("fetched_at") + F.when(i % 6 == 0, -3600).otherwise(3600)).alias("fetched_at"),
+    )
+    return S.canonical_snapshot(site.drop("page_id").unionByName(other))
+
+
 @query
 def url_list(spark, d):
     return S.parse_url_list(I.url_lines(spark, d))

@@ -423,6 +423,13 @@ FROM site WHERE page_id % 5 IN (0, 1)"""
 
 # --- sources ----------------------------------------------------------------
 
+ORACLE["snapshot_canonical"] = f"""WITH {SITE}, raws AS (
+  SELECT url AS raw, status, retrieved_ms, fetched_at FROM site
+  UNION ALL SELECT 'HTTPS://SITE.example.com' || substr(url, 25) || '#top', 203, retrieved_ms,
+    fetched_at + (CASE WHEN page_id % 6 = 0 THEN -1 ELSE 1 END) * INTERVAL 1 HOUR FROM site WHERE page_id % 3 = 0),
+spelled AS (SELECT *, {resolved('raw', 'raw')} AS target FROM raws)
+SELECT {canonical('target')} AS url, status, retrieved_ms, fetched_at FROM spelled
+QUALIFY row_number() OVER (PARTITION BY {canonical('target')} ORDER BY fetched_at DESC) = 1"""
 ORACLE["snapshot_fetch"] = f"""WITH {SITE}, {distinct_links('site')},
 wanted AS (SELECT DISTINCT link_url AS url FROM listed WHERE link_type = 'internal')
 SELECT w.url, coalesce(status, 0) AS status, CASE WHEN status IS NULL THEN 'no response' ELSE '' END AS error,
