@@ -281,3 +281,15 @@ def test_export_collisions_keep_the_last(spark):
 
     docs = urls.withColumn("path", U.export_path(F.col("url")))
     assert rows(export.last_per_path(docs), "url") == [("https://h/a/",), ("https://h/b",)]
+
+
+def test_canonical_snapshot_keeps_the_last_fetch(spark):
+    raw = spark.createDataFrame(
+        [
+            ("HTTPS://H.example/a#x", 200, 5, 10), ("https://h.example/a", 404, 7, 20), ("https://h.example/a", 500, 7, 20),
+            ("https://h.example/b", 200, 1, None), ("mailto:x@h.example", 200, 1, 1), (None, 200, 1, 1),
+        ],
+        "url string, status int, retrieved_ms int, at int",
+    )
+    raw = raw.withColumn("fetched_at", F.timestamp_seconds("at")).drop("at")
+    assert rows(S.canonical_snapshot(raw), "url", "status") == [("https://h.example/a", 500), ("https://h.example/b", 200)]
