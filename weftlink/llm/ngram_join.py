@@ -13,6 +13,7 @@ keeps passages that many documents share out of it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +26,14 @@ from ..session import stash
 from .common import components, text_of
 from .hashing import chunks, mix, shingles
 
-GROUPS = 32
+GROUPS = 128
 #: Groups whose sizes over all documents give the order of shingles.
 ORDER_BITS = 16
 FANOUT = 16
 #: Documents of one region searched together; larger regions go by pairs of blocks.
 BLOCK = 1024
+#: So many ids of candidates are sent to all executors; more are shuffled instead.
+SENT_IDS = 1 << 20
 #: (query, node) pairs looked at together.
 FRONT = 1 << 16
 
@@ -85,7 +88,7 @@ class CountTree:
             for at in range(0, len(q), FRONT):
                 a, b = q[at : at + FRONT], node[at : at + FRONT]
                 other = np.maximum(low[b], rule.least(size[a]))
-                parts.append(np.minimum(query[a], top[b]).sum(1) >= rule.need(size[a], other))
+                parts.append(np.minimum(query[a], top[b]).sum(1, dtype=np.int64) >= rule.need(size[a], other))
             keep = np.concatenate(parts) if parts else np.zeros(0, bool)
             return q[keep], node[keep]
 
@@ -137,7 +140,9 @@ def signatures(texts: DataFrame, sizes: np.ndarray, rule: Jaccard) -> DataFrame:
                 n = np.diff(cuts)
                 owner = np.repeat(np.arange(len(n)), n)
                 group = (found >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64)
-                counts = np.bincount(owner * GROUPS + group, minlength=len(n) * GROUPS).astype("<u4")
+                counts = np.bincount(owner * GROUPS + group, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+                # A byte for each count where that is enough, else four.
+                packed = [c.astype("u1" if c.max() < 256 else "<u4").tobytes() for c in counts]
                 sums = []
                 for salt in (1, 2):
                     total = np.zeros(len(found) + 1, np.uint64)
@@ -154,10 +159,8 @@ def signatures(texts: DataFrame, sizes: np.ndarray, rule: Jaccard) -> DataFrame:
                 ends = np.zeros(len(n) + 1, np.int32)
                 np.cumsum(first, out=ends[1:])
                 flat = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
-                width = 4 * GROUPS
-                binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(n), [None, pa.py_buffer(counts.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(n)), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), binary],
+                    [batch.column("doc_id").slice(at, len(n)), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(packed, pa.binary())],
                     names=["doc_id", "n", "s1", "s2", "head", "counts"],
                 )
 
@@ -165,24 +168,46 @@ def signatures(texts: DataFrame, sizes: np.ndarray, rule: Jaccard) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as asked, from the whole texts."""
+    """The pairs (a, b) whose sets are as similar as asked, from the whole texts.
+
+    Texts travel, compressed, not sets: hashes take more bytes and don't compress.
+    """
     kind = texts.schema["doc_id"].dataType.simpleString()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, bounds in chunks(batch.column("text")):
-                found, cuts = shingles(data, bounds, rule.words)
-                sets = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(cuts) - 1), sets], names=["doc_id", "s"])
+            small = [zlib.compress(t.as_py().encode(), 1) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(small, pa.binary())], names=["doc_id", "text"])
 
-    ids = stash(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
-    sets = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(whole, f"doc_id {kind}, s array<long>"), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    enough = rule.den * same >= rule.num * (F.size("sa") + F.size("sb") - same)
-    return both.filter(enough).select("a", "b").distinct()
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        out = []
+        for _, data, bounds in chunks(pa.array([zlib.decompress(t.as_py()) for t in column], pa.large_binary())):
+            found, cuts = shingles(data, bounds, rule.words)
+            out += [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                keep = []
+                for x, y in zip(sets(part.column("ta")), sets(part.column("tb"))):
+                    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+                    keep.append(same > 0 and rule.den * same >= rule.num * (len(x) + len(y) - same))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).groupBy("doc_id").agg(F.count("*").alias("pairs"))
+    # Of the texts only candidates are to be shuffled: Spark's own Bloom filter
+    # sees to it, which it builds on a side that is filtered by a comparison.
+    ids = stash(ids, "candidates").filter("pairs > 0").select("doc_id")
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    texts.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    some = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(press, f"doc_id {kind}, text binary"), "candidate-texts")
+    left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def searched(regions: DataFrame, rule: Jaccard) -> DataFrame:
@@ -199,7 +224,11 @@ def searched(regions: DataFrame, rule: Jaccard) -> DataFrame:
         if len(comp) < 2 or (comp == comp[0]).all():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         n = rows.column("n").to_numpy()
-        points = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4").reshape(len(n), GROUPS).astype(np.int64)
+        packed = rows.column("counts").to_pylist()
+        if all(len(p) == GROUPS for p in packed):
+            points = np.frombuffer(b"".join(packed), "u1").reshape(-1, GROUPS)
+        else:
+            points = np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<u4").astype("<u4") for p in packed])
         side = rows.column("side").to_numpy()
         if rows.column("c1")[0].as_py() == rows.column("c2")[0].as_py():
             left = right = np.arange(len(n))
@@ -249,23 +278,30 @@ def join_components(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:
     empty, other columns are ignored, an empty table gives no rows.
     """
     texts = docs.select("doc_id", text_of().alias("text"))
-    sets = stash(signatures(texts, group_sizes(texts, rule), rule), "signatures")
+    sets = stash(signatures(texts, group_sizes(texts, rule), rule).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = stash(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "set-classes")
-    points = sets.join(classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi")
-    points = stash(points.select(F.col("doc_id").alias("rep"), "n", "head", "counts").dropDuplicates(["rep", "n"]), "points")
+    first = F.min(F.struct(F.col("doc_id").alias("rep"), "row")).alias("first")
+    classes = stash(some.groupBy("n", "s1", "s2").agg(first).select("n", "s1", "s2", "first.*"), "set-classes")
+    points = sets.join(classes.select("row"), "row", "left_semi")
+    points = stash(points.select(F.col("doc_id").alias("rep"), "n", "head", "counts"), "points")
 
     entries = points.select("rep", "n", F.explode("head").alias("key"))
     shared = stash(entries.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "regions")
     live = stash(entries.join(shared, "key"), "entries")
 
-    # First, neighbours by size in each region: most groups are one component after it.
+    # First, each document of a region with the one that shares most regions with
+    # others, where they meet in a quarter of their regions: most groups are one
+    # component after it. Whatever this leaves out, the search below finds.
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     live = live.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    near = Window.partitionBy("key", "block").orderBy("n", "rep")
-    pairs = live.select(F.lag("rep").over(near).alias("x"), F.col("rep").alias("y"), F.lag("n").over(near).alias("m"), "n")
-    pairs = pairs.filter((rule.den * F.col("m") >= rule.num * F.col("n")) & (F.col("x") != F.col("y")))
-    pairs = stash(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "neighbours")
+    central = stash(live.groupBy("rep").agg(F.sum("many").alias("score")), "scores")
+    best = Window.partitionBy("key", "block").orderBy(F.desc("score"), "rep")
+    pairs = live.join(central, "rep").select(F.first("rep").over(best).alias("x"), F.first("n").over(best).alias("m"), F.col("rep").alias("y"), "n")
+    least, most = F.least("m", "n"), F.greatest("m", "n")
+    pairs = pairs.filter((rule.den * least >= rule.num * most) & (F.col("x") != F.col("y")))
+    head = least - F.ceil(rule.num * least / rule.den) + 1
+    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("met"), F.max(head).alias("of"))
+    pairs = stash(pairs.filter("4 * met >= of").select("a", "b"), "central-pairs")
     links = stash(verified(pairs, texts, rule), "links")
     comp = stash(components(links), "components")
 

@@ -195,6 +195,8 @@ def _merge_task(length: int):
 
         for batch in batches:
             for gram, span, many, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "span", "many", "bytes"))):
+                if texts and (gram, span) == (grams[-1], own[-1]):
+                    continue  # read from a repeated row as well
                 if size > MERGE_BYTES and gram != grams[-1]:
                     yield flush()
                     grams, own, often, texts, size = [], [], [], [], 0
@@ -273,18 +275,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     once = texts.select("r1", "r2", "text").join(wanted, ["r1", "r2"]).select("text", "s")
-    pieces = stash(once.mapInArrow(read, "gram long, span long, many long, crowded boolean, bytes binary").dropDuplicates(["gram", "span"]), "span-bytes")
+    pieces = stash(once.mapInArrow(read, "gram long, span long, many long, crowded boolean, bytes binary"), "span-bytes")
     few = pieces.filter("NOT crowded").repartition("gram").sortWithinPartitions("gram", "span")
     merged_runs = few.select("gram", "span", "many", "bytes").mapInArrow(_merge_task(length), "gram long, span long, a long, b long")
     # A gram with very many distinct spans is dealt out window by window.
-    windows = stash(pieces.filter("crowded").select("gram", "span", "many", "bytes").mapInArrow(_window_task(length), "gram long, span long, a long, w long, many long"), "windows")
+    crowd = pieces.filter("crowded").select("gram", "span", "many", "bytes").dropDuplicates(["gram", "span"])
+    windows = stash(crowd.mapInArrow(_window_task(length), "gram long, span long, a long, w long, many long"), "windows")
     again = windows.groupBy("w").agg(F.sum("many").alias("n")).filter("n > 1").select("w")
     single = windows.join(again, "w", "left_semi").select("gram", "span", "a", (F.col("a") + 1).alias("b"))
     runs = stash(merged_runs.unionByName(single), "window-runs")
 
     whole = near.filter("NOT mixed").select("r1", "r2", F.col("start").alias("a"), (F.col("start") + F.col("windows")).alias("b"))
     part = near.filter("mixed").join(runs, ["gram", "span"]).select("r1", "r2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-    covered = stash(whole.unionByName(part).groupBy("r1", "r2").agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("s")), "covered")
+    covered = stash(whole.unionByName(part).groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("s")), "covered")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
