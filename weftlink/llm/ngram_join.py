@@ -308,7 +308,13 @@ def join_components(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:
     # Then a search for every pair of different components.
     placed = live.join(comp.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left")
     placed = stash(placed.withColumn("comp", F.coalesce("c", "rep")).drop("c"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    # Near copies share many regions of the same members; one of each is enough.
+    member = lambda salt: F.try_sum(F.shiftright(F.xxhash64("rep", "n", F.lit(salt)), 24))
+    mixed = placed.groupBy("key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"),
+        F.coalesce(member(1), "key").alias("m1"), F.coalesce(member(2), "key").alias("m2"),
+    ).filter("low < high")
+    mixed = mixed.groupBy("size", "m1", "m2").agg(F.min("key").alias("key")).select("key")
     open_rows = placed.join(stash(mixed, "open-regions"), "key", "left_semi")
     open_rows = open_rows.join(points.select("rep", "n", "counts"), ["rep", "n"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
