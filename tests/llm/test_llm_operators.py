@@ -125,7 +125,9 @@ def test_shards_split_as_extendible_hashing(spark):
     texts = ["x" * rng.choice((0, 1, 50, 400)) for _ in range(400)] + ["y" * 5000]
     docs = documents(spark, texts)
     got = sharding.assign_shards(docs, 600)
-    assert [c for c in got.columns if c in docs.columns] == [c for c in docs.columns if c != "shard"]
+    same = [c for c in docs.columns if c != "shard"]
+    assert [c for c in got.columns if c in docs.columns and c != "shard"] == same
+    assert found(got, *same) == found(docs, *same)
     expected = extendible([(i, len(t)) for i, t in enumerate(texts)], 600)
     assert {r["doc_id"]: r["shard"] for r in got.collect()} == expected
     for shard, n in Counter(expected.values()).items():
@@ -193,6 +195,7 @@ def test_mix_stage_repeats_rows(spark):
     mixed = mixing.mix_documents(docs)
     times = Counter(r["doc_id"] for r in mixed.collect())
     assert mixed.columns == docs.columns and max(times.values()) == 3
+    assert set(found(mixed, *docs.columns)) <= set(found(docs, *docs.columns))
     # a may give 350 - 150, b is capped at three times its 50 words
     assert sum(n for i, n in times.items() if i < 30) == 20 and sum(n for i, n in times.items() if i >= 30) == 15
     assert mixing.mix_documents(edges(spark)).filter("text = ''").count() == 0
@@ -270,8 +273,8 @@ def test_packing_whole(spark):
     texts = [" ".join(rng.choice(WORDS) for _ in range(rng.choice((0, 3, 100, 700, 5000)))) for _ in range(120)] + [None, "", LONG]
     rows = packing.pack(documents(spark, texts), TOKENIZER).collect()
     pieces, n = check_packed(rows, texts)
-    total = sum(pieces.values())
-    assert set(pieces) == set(range(len(texts))) and n <= 1.03 * total / 2048 + 1
+    total, over_half = sum(pieces.values()), sum(2 * r["length"] > 2048 for r in rows)
+    assert set(pieces) == set(range(len(texts))) and n <= 1.03 * max(total / 2048, over_half) + 1
     rows = packing.pack(edges(spark), TOKENIZER).collect()
     places = Counter((r["sequence_id"], r["offset"]) for r in rows)
     assert max(places.values()) == 1 and len([r for r in rows if r["length"] == 1]) == 4

@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, sql, name):
 def test_pipeline_stages(spark):
     """Each stage against a plain version of it, on what the stage before kept."""
     import corpus_pipeline
-    from test_operators import check_packed, jaccard_rows
+    from test_llm_operators import check_packed, jaccard_rows
     from weftlink.llm import mixing, quality
 
     sf_dir = str(TESTDATA)
