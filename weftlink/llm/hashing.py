@@ -42,8 +42,8 @@ def substring_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, bounds): runs of texts of about ``CHUNK_BYTES``, one zero byte after each text.
+def chunks(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, bounds): runs of texts of about ``chunk_bytes``, one zero byte after each text.
 
     Text i of a run is bytes[bounds[i] : bounds[i + 1] - 1].
     """
@@ -52,7 +52,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk_bytes, "right")) - 1)
         lengths = np.diff(offsets[at : end + 1])
         bounds = np.zeros(end - at + 1, np.int64)
         np.cumsum(lengths + 1, out=bounds[1:])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from . import exact_dedup as dedup
-from . import licenses, mixing, ngram_join, packing, quality, repeats, sharding, vectors, warc
+from . import licenses, mixing, ngram_join, packing, quality, repeats, sharding, spelling, vectors, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,10 +60,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(configure(spark), sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(configure(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_classifier, op3_best_fit_packing, op4_suffix_array_dedup, op5_warc,
         op6_sharding, op7_embedding_near_dedup, op8_mixing, op9_ngram_jaccard_join, op10_license_scan,
+        op11_spelling_variants,
     )
 }
