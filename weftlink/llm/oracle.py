@@ -88,10 +88,39 @@ SELECT doc_id, n_sentences, sentence_ids, line_ids, coalesce(array_to_string(lis
 """
 
 
+# CRC-32 by a table of 256 entries, a byte at a time. Neighbours have a deletion
+# or a word with one letter blanked out in common.
+OP11 = r"""
+WITH RECURSIVE t0 AS (SELECT range::BIGINT AS i, range::BIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM t0 WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM t0 WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs),
+each AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS key, run, count(*) AS n FROM low GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(key)) AS x FROM each),
+sums AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i::INT + 1, 2))::BIGINT)),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM bytes, crc),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM sums),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest, substr(word, 1, i::INT) || '*' || substr(word, i::INT + 2) AS blank
+        FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+pairs AS MATERIALIZED (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.blank = b.blank AND a.word <> b.word
+          UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM w)
+          UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM w)),
+best AS (SELECT p.word, count(*) AS n_near, arg_min(p.near, (-x.n, p.near)) AS near, max(x.n) AS near_n FROM pairs p JOIN w x ON x.word = p.near GROUP BY p.word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+      FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": OP1,
     "op5_warc": OP5,
     "op6_sharding": OP6,
     "op8_mixing": OP8,
     "op10_license_scan": _op10(),
+    "op11_spelling_variants": OP11,
 }

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from . import exact_dedup as dedup
-from . import licenses, mixing, ngram_join, packing, quality, repeats, sharding, spelling, vectors, warc
+from . import licenses, mixing, ngram_join, packing, quality, repeats, sharding, spelling, token_counts, vectors, warc, whitening
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: A shard's bytes; small enough that a few MB of documents make several shards.
 SHARD_BYTES = 1 << 20
 
@@ -64,11 +65,20 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(configure(spark), sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a cache of this call's own, so that every run does the whole work."""
+    return token_counts.count_tokens(table(configure(spark), sf_dir, "documents"), PIECES)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(configure(spark), sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_classifier, op3_best_fit_packing, op4_suffix_array_dedup, op5_warc,
         op6_sharding, op7_embedding_near_dedup, op8_mixing, op9_ngram_jaccard_join, op10_license_scan,
-        op11_spelling_variants,
+        op11_spelling_variants, op12_token_counts, op13_embedding_whitening,
     )
 }
