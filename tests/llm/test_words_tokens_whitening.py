@@ -79,6 +79,7 @@ def vocabulary(seed, size, letters, longest):
 @pytest.mark.parametrize("levels", [64, 5])
 def test_variants_by_brute_force(spark, monkeypatch, levels):
     monkeypatch.setattr(spelling, "LEVELS", levels)
+    monkeypatch.setattr(spelling, "SEND_EDGES", 8 * levels)
     n = vocabulary(levels, 400, "abé", 9) | vocabulary(levels + 1, 150, "abcdefghijklmnopqrstuvwxyzÀÿ", 5)
     words = spark.createDataFrame([(w, k, "clash") for w, k in n.items()], "word string, n long, form string")
     assert found(spelling.variants(words), *COLUMNS) == grouped(n)

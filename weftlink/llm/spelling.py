@@ -28,6 +28,8 @@ LEVELS = 64
 COUNT_BYTES = 4 << 20
 #: A letter's place among the bits that tell which letters may follow; letters that share one only cost a join more.
 LETTER_BITS = 63
+#: A level's edges are sent to the frontier's tasks if there are no more; else both sides are shuffled by node.
+SEND_EDGES = 100_000
 
 
 def crc_table() -> np.ndarray:
@@ -178,6 +180,7 @@ def trie_neighbours(words: DataFrame, longest: int) -> DataFrame:
     """(word, node): pairs of distinct ``words`` of at most ``longest`` letters one edit apart, each once."""
     spark = words.sparkSession
     edges = trie_edges(words)
+    few = {r["depth"] for r in edges.groupBy("depth").count().collect() if r["count"] <= SEND_EDGES}
     root = F.lit("")
     # The first letter left out: no edge leads to the root.
     states = words.filter(_letter("word", F.lit(0)) != _letter("word", F.lit(1))).filter(F.length("word") > 1)
@@ -190,7 +193,8 @@ def trie_neighbours(words: DataFrame, longest: int) -> DataFrame:
         )
         frontier = untouched.unionByName(states.withColumn("edits", F.lit(1)))
         path = f"{levels}/depth={depth}"
-        next_frontier(frontier, edges.filter(F.col("depth") == depth)).write.partitionBy("found").parquet(path)
+        below = edges.filter(F.col("depth") == depth)
+        next_frontier(frontier, F.broadcast(below) if depth in few else below).write.partitionBy("found").parquet(path)
         if depth:
             delete_path(spark, f"{levels}/depth={depth - 1}/found=false")
         level = spark.read.schema(schema).option("basePath", levels).parquet(path)
