@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -32,6 +33,29 @@ def _table(entries: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
 
+# The same for plain strings, in the helpers that work on one page at a time.
+ENTITY = re.compile(_TOKEN)
+_BARE_START = re.compile("|".join(_BARE))
+
+
+def decoded(token: str) -> str:
+    """The text of one reference; the token itself if it is none."""
+    if token.startswith("&#"):
+        if len(token) <= 3:
+            return token
+        hexadecimal = token[2] in "xX"
+        digits = token[3 if hexadecimal else 2 :].rstrip(";").lstrip("0")
+        code = 1 << 21 if len(digits) > 8 else int(digits or "0", 16 if hexadecimal else 10)
+        if 0x80 <= code <= 0x9F:
+            return _C1[code - 0x80]
+        return _REPLACEMENT if code == 0 or 0xD800 <= code <= 0xDFFF or code > 0x10FFFF else chr(code)
+    name = token[1:]
+    if name in html5:
+        return html5[name]
+    bare = _BARE_START.match(name)
+    return html5[bare[0]] + name[bare.end() :] if bare else token
+
+
 def _character(code: Column) -> Column:
     utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
     return (

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from . import pagetext
 from .entities import decode_entities
-from .text import TAG_SPACE, let, single_spaces, trim_space
+from .text import TAG_SPACE, let, trim_space
 
-# Link pattern, skipped link schemes, head patterns, element lists
-# and the two phrases of the output. The loose tag patterns are part of the
-# results: ``<li`` also covers ``<link``, and ``<a`` any tag whose name starts
-# with a.
+# Link pattern, skipped link schemes, head patterns and the two
+# phrases of the output. The loose tag patterns are part of the results: ``<a``
+# covers any tag whose name starts with a.
 #
-# Between two ``>`` only the first ``<a`` or ``<meta`` need be tried: what a later
-# one could match, the first can. The atomic groups say so; without them a page
-# of tags that never end takes time by the square of its length.
+# Between two ``>`` only the first ``<a`` need be tried: what a later one could
+# match, the first can. The atomic groups say so; without them a page of tags
+# that never end takes time by the square of its length.
 _PIECE = r"(?:\G|(?<=>))"
 HREF = (
     rf"(?i){_PIECE}(?>[^>]*?<a)[^>]*?(?<![0-9A-Za-z_])href{TAG_SPACE}*={TAG_SPACE}*"
@@ -25,58 +25,12 @@ HREF = (
 )
 SKIPPED_SCHEMES = ("javascript:", "mailto:", "tel:")
 TITLE = r"(?is)\A(?>.*?<title)(?>[^>]*>)(.*?)</title>"
-DESCRIPTION = (
-    rf"(?is){_PIECE}(?>[^>]*?<meta)[^>]+(?:name|property){TAG_SPACE}*={TAG_SPACE}*['\"](?:description|og:description)['\"]"
-    rf"[^>]*content{TAG_SPACE}*={TAG_SPACE}*['\"]([^'\"]+)['\"]"
-)
-REFRESH = (
-    rf"(?is){_PIECE}(?>[^>]*?<meta)[^>]+http-equiv{TAG_SPACE}*={TAG_SPACE}*['\"]refresh['\"]"
-    rf"[^>]*content{TAG_SPACE}*={TAG_SPACE}*['\"]([^'\"]+)['\"]"
-)
-UNSEEN_ELEMENTS = ("script", "style", "noscript", "template", "iframe")
-BLOCK_ELEMENTS = (
-    "p|div|section|article|main|header|footer|address|blockquote|table|tr|tbody|thead|tfoot|ul|ol"
-)
+DESCRIPTION = rf"(?:name|property){TAG_SPACE}*={TAG_SPACE}*['\"](?:description|og:description)['\"]"
+REFRESH = rf"http-equiv{TAG_SPACE}*={TAG_SPACE}*['\"]refresh['\"]"
 EMPTY_PAGE = "*No textual content extracted.*\n"
 REFRESH_LABEL = "Meta refresh redirect target: "
 
 
-def until_last(c: Column, end: str, then: Callable[[Column], Column]) -> Column:
-    """Apply ``then`` to the text up to the last match of ``end``, and leave the rest.
-
-    For patterns that must close with ``end``: behind its last match they would
-    be tried at every opening, each time to the end of the text.
-    """
-
-    def halves(text: Column) -> Column:
-        n = F.length(F.regexp_extract(text, rf"(?is)\A.*{end}", 0))
-        return let(
-            F.struct(F.substr(text, F.lit(1), n).alias("a"), F.substr(text, n + 1).alias("b")),
-            lambda h: F.when(h["a"] == "", h["b"]).otherwise(F.concat(then(h["a"]), h["b"])),
-        )
-
-    return let(c, halves)
-
-
-def split_until(c: Column, end: str, pattern: str) -> Column:
-    """The text between the matches of ``pattern``, which must close with ``end``."""
-
-    def parts(text: Column) -> Column:
-        n = F.length(F.regexp_extract(text, rf"(?is)\A.*{end}", 0))
-        rest = F.substr(text, n + 1)
-        return let(
-            F.split(F.substr(text, F.lit(1), n), pattern, -1),
-            lambda p: F.concat(F.slice(p, 1, F.size(p) - 1), F.array(F.concat(F.element_at(p, -1), rest))),
-        )
-
-    return let(c, parts)
-
-
-def found_until(c: Column, end: str, pattern: str) -> Column:
-    """The matches of ``pattern``, which must close with ``end``."""
-    return let(c, lambda text: F.regexp_extract_all(F.regexp_extract(text, rf"(?is)\A.*{end}", 0), F.lit(pattern), F.lit(0)))
-
-
 def hrefs(html: Column) -> Column:
     """Raw ``href`` values in document order, quotes removed."""
     found = F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
@@ -105,8 +59,44 @@ def title(html: Column) -> Column:
     return trim_space(decode_entities(F.regexp_extract(html, TITLE, 1)))
 
 
+def meta_content(html: Column, attribute: str) -> Column:
+    """``content`` of the first meta tag that has ``attribute`` before it; empty if there is none.
+
+    Of several contents in a tag the last counts, which may run on behind the
+    tag's ``>``, to the next quote. Every piece between two ``>`` is read once,
+    from its first ``<meta``: a later one in it can match nothing else.
+    """
+    opening = rf"(?is)\A(.*)content{TAG_SPACE}*={TAG_SPACE}*['\"]([^'\"]+)"
+
+    def of_pieces(pieces: Column) -> Column:
+        last_quote = F.array_max(F.transform(pieces, lambda p, i: F.when(p.rlike("['\"]"), i)))
+
+        def content(p: Column, i: Column, last: Column) -> Column:
+            def of_tag(tag: Column) -> Column:
+                def parts(end: str) -> Column:
+                    names = enumerate(("before", "value", "end"), 1)
+                    return F.struct(i.alias("i"), *(F.regexp_extract(tag, opening + end, k).alias(n) for k, n in names))
+
+                # A value without an end in its piece needs a quote in a later one.
+                return F.when(i < last, parts(r"(['\"]|\z)")).otherwise(parts("(['\"])"))
+
+            return let(F.regexp_extract(p, r"(?is)<meta(.*)\z", 1), of_tag)
+
+        def value(found: Column) -> Column:
+            rest = F.array_join(F.slice(pieces, found["i"] + 2, F.size(pieces)), ">")
+            behind = F.concat(F.lit(">"), F.regexp_extract(rest, r"\A[^'\"]*", 0))
+            whole = F.concat(found["value"], F.when(found["end"] == "", behind).otherwise(F.lit("")))
+            return F.coalesce(whole, F.lit(""))
+
+        tags = let(last_quote, lambda last: F.transform(pieces, lambda p, i: content(p, i, last)))
+        fits = F.filter(tags, lambda t: (t["value"] != "") & t["before"].rlike(rf"(?is).{attribute}"))
+        return let(F.get(fits, F.lit(0)), value)
+
+    return F.when(html.rlike(rf"(?i){attribute}"), let(F.split(html, ">", -1), of_pieces)).when(html.isNotNull(), F.lit(""))
+
+
 def description(html: Column) -> Column:
-    return trim_space(decode_entities(F.regexp_extract(html, DESCRIPTION, 1)))
+    return trim_space(decode_entities(meta_content(html, DESCRIPTION)))
 
 
 def refresh_target(html: Column) -> Column:
@@ -121,46 +111,14 @@ def refresh_target(html: Column) -> Column:
         return decode_entities(unquoted)
 
     return let(
-        F.regexp_extract(html, REFRESH, 1), lambda c: F.when(c == "", c).otherwise(target(c))
+        meta_content(html, REFRESH), lambda c: F.when(c == "", c).otherwise(target(c))
     )
 
 
-def drop_unseen(html: Column) -> Column:
-    """Scripts, styles, other unseen elements and comments become one space."""
-    out = html
-    for tag in UNSEEN_ELEMENTS:
-        out = until_last(out, f"</{tag}>", lambda c, t=tag: F.regexp_replace(c, rf"(?is)<{t}[^>]*>.*?</{t}>", " "))
-    return until_last(out, "-->", lambda c: F.regexp_replace(c, r"(?s)<!--.*?-->", " "))
-
-
-def tags_to_layout(html: Column) -> Column:
-    """Tags become line breaks, bullets and heading marks; text is decoded."""
-    return decode_entities(until_last(html, ">", _strip_tags))
-
-
-def _strip_tags(html: Column) -> Column:
-    out = F.regexp_replace(html, r"(?is)<br[^>]*>", "\n")
-    out = F.regexp_replace(out, r"(?is)<li[^>]*>", "\n- ")
-    out = F.regexp_replace(out, r"(?is)</li>", "")
-    for level in range(1, 7):
-        out = F.regexp_replace(out, rf"(?is)<h{level}[^>]*>", "\n\n" + "#" * level + " ")
-    out = F.regexp_replace(out, r"(?is)</h[1-6]>", "\n\n")
-    out = F.regexp_replace(out, rf"(?is)<(?:/(?:{BLOCK_ELEMENTS})>|(?:{BLOCK_ELEMENTS})[^>]*>)", "\n\n")
-    return F.regexp_replace(out, r"(?is)<[^>]+>", "")
-
-
-def tidy_lines(text: Column) -> Column:
-    """One space between words, one blank line between blocks, ends trimmed."""
-    out = F.regexp_replace(single_spaces(text), r" ?\n ?", "\n")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, r"(?dm)^(#+)(?=[^#\n ])", "$1 ")
-    return trim_space(out)
-
-
-def visible_text(html: Column) -> Column:
+@F.arrow_udf(StringType())
+def visible_text(html: pa.Array) -> pa.Array:
     """What a reader sees, ended by a line break; empty if nothing."""
-    tidy = tidy_lines(tags_to_layout(drop_unseen(html)))
-    return let(tidy, lambda t: F.when(t == "", t).otherwise(F.concat(t, F.lit("\n"))))
+    return pa.array([None if h is None else pagetext.visible(h) for h in html.to_pylist()], pa.string())
 
 
 def fallback_document(html: Column) -> Column:

@@ -2,75 +2,54 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from . import urls
-from .entities import decode_entities
-from .html import HREF, clean_href, drop_unseen, found_until, is_followable, split_until, tags_to_layout, tidy_lines, unquote, until_last
+from . import pagetext, urls
+from .html import clean_href, is_followable
 from .text import collapse_spaces, let
 
-_HEAD = r"(?is)<head(?:[\t\n\f\r ][^>]*)?>.*?</head>|<title[^>]*>.*?</title>"
-_PRE = r"(?is)<pre(?:[\t\n\f\r ][^>]*)?>.*?</pre>"
-_ANCHOR = r"(?is)<a(?:[\t\n\f\r ][^>]*)?>.*?</a>"
-_TAG = r"(?is)<[^>]+>"
+_LINK = pa.struct([("label", pa.string()), ("target", pa.string()), ("image", pa.bool_())])
+_PARTS = pa.struct([("texts", pa.list_(pa.string())), ("links", pa.list_(_LINK))])
 
 
-def _protect(url: Column) -> Column:
-    # The prose around the link is still encoded HTML and is decoded later.
-    return F.replace(F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+@F.arrow_udf(from_arrow_type(_PARTS))
+def markdown_parts(html: pa.Array) -> pa.Array:
+    """A page's Markdown cut at its links, and the links that go between, their targets as they are written."""
+    names = [f.name for f in _LINK]
+    out = []
+    for page in html.to_pylist():
+        texts, links = pagetext.markdown_parts(page) if page is not None else (None, None)
+        out.append({"texts": texts, "links": None if links is None else [dict(zip(names, x)) for x in links]})
+    return pa.array(out, _PARTS)
 
 
-def _anchor(tag: Column, base: Column) -> Column:
-    """``[label](absolute URL)``, or the label alone if the link leads nowhere."""
-    label = collapse_spaces(F.regexp_replace(tag, _TAG, ""))
-    href = clean_href(unquote(F.regexp_extract(tag, HREF, 1)))
-
-    def linked(parts: Column) -> Column:
-        url = F.when(is_followable(parts["href"]), urls.canonical_url(parts["href"], base))
-        return let(
-            url,
-            lambda u: F.when(u.isNull() | (parts["label"] == ""), parts["label"]).otherwise(
-                F.concat(F.lit("["), parts["label"], F.lit("]("), _protect(u), F.lit(")"))
-            ),
-        )
-
-    return let(F.struct(label.alias("label"), href.alias("href")), linked)
-
-
-def _rewrite_anchors(html: Column, base: Column) -> Column:
-    anchors = F.transform(found_until(html, "</a>", _ANCHOR), lambda a: _anchor(a, base))
-    return F.array_join(
-        F.zip_with(
-            split_until(html, "</a>", _ANCHOR), F.concat(anchors, F.array(F.lit(""))), lambda text, a: F.concat(text, a)
-        ),
-        "",
-    )
+def _written(link: Column, base: Column) -> Column:
+    """``[label](absolute URL)``, ``![alt](absolute URL)``, or the label alone if it leads nowhere."""
 
+    def with_target(href: Column) -> Column:
+        url = F.when(is_followable(href), urls.canonical_url(href, base))
+        sign = F.when(link["image"], F.lit("![")).otherwise(F.lit("["))
+        return let(url, lambda u: F.coalesce(F.concat(sign, link["label"], F.lit("]("), u, F.lit(")")), link["label"]))
 
-def _fence(pre: Column) -> Column:
-    code = decode_entities(F.regexp_replace(pre, _TAG, ""))
-    return F.concat(F.lit("```\n"), F.regexp_replace(code, r"^\n|\n\z", ""), F.lit("\n```"))
+    return let(clean_href(link["target"]), with_target)
 
 
 def page_markdown(html: Column, base: Column) -> Column:
-    """Markdown of a page: headings, bullets, absolute links, fenced code.
+    """Markdown of a page: headings, lists, emphasis, tables, code, absolute links and images.
 
     ``base`` is the page's split URL. Empty for a page without text.
     """
 
-    def convert(source: Column) -> Column:
-        prose = F.transform(
-            split_until(source, "</pre>", _PRE), lambda h: tidy_lines(tags_to_layout(_rewrite_anchors(h, base)))
-        )
-        fences = F.transform(found_until(source, "</pre>", _PRE), _fence)
-        blocks = F.flatten(
-            F.zip_with(prose, F.concat(fences, F.array(F.lit(""))), lambda p, f: F.array(p, f))
-        )
-        return F.array_join(F.filter(blocks, lambda b: b != ""), "\n\n")
+    def join(page: Column) -> Column:
+        links = F.transform(page["parts"]["links"], lambda x: _written(x, page["base"]))
+        both = F.zip_with(page["parts"]["texts"], F.concat(links, F.array(F.lit(""))), lambda text, link: F.concat(text, link))
+        return F.array_join(both, "")
 
-    headless = until_last(drop_unseen(html), "</(?:head|title)>", lambda c: F.regexp_replace(c, _HEAD, " "))
-    return let(headless, convert)
+    # The Arrow function stays outside of the lambda, which can't call it.
+    return let(F.struct(markdown_parts(html).alias("parts"), base.alias("base")), join)
 
 
 def _quoted(text: Column) -> Column:

@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 
 # Code points of the Unicode White_Space property, and the
 # narrower class that ``\s`` denotes inside the tag patterns (no vertical tab).
-_SPACE_POINTS = (
+SPACE_POINTS = (
     *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000
 )
 TAG_SPACE = r"[\t\n\f\r ]"
 
-SPACE_CHARS = "".join(map(chr, _SPACE_POINTS))
+SPACE_CHARS = "".join(map(chr, SPACE_POINTS))
 
 # Spaces other than U+0020 and the line break. The wide ranges on the left let
 # most characters fail on one comparison.
 _ODD_SPACE = (
     r"[\x09-\x0D\x7F-\u3000&&["
-    + "".join(f"\\u{p:04X}" for p in _SPACE_POINTS if p not in (0x0A, 0x20))
+    + "".join(f"\\u{p:04X}" for p in SPACE_POINTS if p not in (0x0A, 0x20))
     + "]]"
 )
 

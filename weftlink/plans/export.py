@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions.markdown import document, page_markdown
-from ..functions.text import content_hash, let, remembered, word_count
+from ..functions.text import content_hash, remembered, word_count
 from ..operators.boilerplate import boilerplate_rules, strip_boilerplate
 from ..operators.links import with_link_counts
 from ..operators.numbering import number_rows
@@ -19,7 +19,7 @@ from ..sources.tables import UNCHANGED
 
 @remembered
 def _markdown(html: str, url: str) -> Column:
-    return let(U.split_url(F.col(url)), lambda base: page_markdown(F.col(html), base))
+    return page_markdown(F.col(html), U.split_url(F.col(url)))
 
 
 def page_markdowns(pages: DataFrame) -> DataFrame:
