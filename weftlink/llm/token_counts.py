@@ -26,7 +26,7 @@ LIMIT = 4096
 #: Texts whose words are encoded together, in bytes; a longer text alone.
 CHUNK_BYTES = 8 << 20
 #: Below so many bytes of wanted digests, the digests go to the texts; beyond, texts are reduced to distinct ones first.
-SEND_BYTES = 64 << 20
+SEND_BYTES = 4 << 20
 _CACHE_SCHEMA = "digest binary, n_tokens int"
 _WORKER: dict[str, Callable[[pa.Array], np.ndarray]] = {}
 
@@ -106,11 +106,15 @@ def normalised(text: Column, tokenizer_path: str) -> Column:
 
 
 def stored_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """(digest, n_tokens) of one tokenizer version. Runs that appended the same digest agree."""
-    if not child_names(spark, folder):
+    """(digest, n_tokens) of one tokenizer version. Runs that appended the same digest agree.
+
+    A table in any case, so that a join with a digest that many rows have can be split.
+    """
+    appends = child_names(spark, folder)
+    if not appends:
         return spark.createDataFrame([], _CACHE_SCHEMA)
     rows = spark.read.option("recursiveFileLookup", "true").schema(_CACHE_SCHEMA).parquet(folder)
-    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return rows if len(appends) == 1 else stash(rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "stored")
 
 
 def compact(spark: SparkSession, cache: str, tokenizer_path: str) -> None:
