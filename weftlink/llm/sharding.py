@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import new_table_path, stash
-from .common import seeded, text_of
+from .common import renamed, seeded, text_of
 
 BITS = 60
 #: Bits looked at beyond those an even spread would need, in the first pass and in each later one.
@@ -65,11 +65,10 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     0 bytes, null ids are one id. Columns of ``docs`` with those names are
     replaced; an empty table gives no rows.
     """
-    rows = docs.withColumn("n_bytes", F.octet_length(text_of(text_col)).cast("long")).withColumn("_h", seeded(id_col, seed))
+    docs, names = renamed(docs)
+    rows = docs.withColumn("n_bytes", F.octet_length(text_of(names[text_col])).cast("long")).withColumn("_h", seeded(names[id_col], seed))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     hashed = stash(rows.select("_h", F.col("n_bytes").alias("_bytes")), "hashes")
-    drop = [c for c in ("shard", "depth", "shard_bytes", "shard_docs") if c in docs.columns]
-    rows = rows.drop(*drop)
     found = None
     for bits, part in directory(hashed, limit):
         entry = part.withColumnRenamed("_cell", f"_cell{bits}").select(
@@ -93,9 +92,9 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("_max", F.lit(1))))
     cut = cut.withColumn("_part", F.concat_ws("-", F.lit(""), "_salt", F.floor((F.col("_at") - 1) / each).cast("string"))).drop("_max", "_at")
     both = fit.unionByName(cut).withColumn("shard", F.concat("shard", F.coalesce("_part", F.lit(""))))
-    kept = [c for c in docs.columns if c not in ("shard", "depth", "shard_bytes", "shard_docs", "n_bytes")]
+    replaced = ("n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
     return both.select(
-        *kept, "n_bytes", "shard", F.col("_e._depth").alias("depth"),
+        *(F.col(own).alias(c) for c, own in names.items() if c not in replaced), "n_bytes", "shard", F.col("_e._depth").alias("depth"),
         F.col("_e.shard_bytes").alias("shard_bytes"), F.col("_e.shard_docs").alias("shard_docs"),
     )
 
