@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stash
-from .common import WORD, seeded, text_of
+from .common import WORD, renamed, seeded, text_of
 
 REPEATS = 3
 #: Cells of the seeded order, over which sums are taken before any row is sorted.
@@ -164,11 +164,12 @@ def mix_sources(docs: DataFrame, seed: str = "mix", repeats: int = REPEATS) -> D
 
 def mix_documents(docs: DataFrame, seed: str = "mix", repeats: int = REPEATS) -> DataFrame:
     """The mix itself: every document as often as it is taken, whole, with its columns."""
-    extra = {"_members": F.array(F.col("source").cast("string")), "_size": word_count()}
+    docs, names = renamed(docs)
+    extra = {"_members": F.array(F.col(names["source"]).cast("string")), "_size": word_count(names["text"])}
     rows = stash(docs.withColumns(extra).withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    sized = rows.select("doc_id", F.col("_members").alias("members"), F.col("_size").alias("size"), "_row")
+    sized = rows.select(F.col(names["doc_id"]).alias("doc_id"), F.col("_members").alias("members"), F.col("_size").alias("size"), "_row")
     taken, _ = mix(sized, seed, repeats, whole=True)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     used = stash(taken.select("_row", times.cast("int").alias("_times")).filter("_times > 0"), "mix-taken")
     copies = rows.join(used, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(*docs.columns)
+    return copies.select(*(F.col(own).alias(c) for c, own in names.items()))
