@@ -15,12 +15,18 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Rows that a Python worker gets at once: of whole texts, Spark's default number
+# takes tens of MB, several times over in every worker. Another choice is kept.
+BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings that results depend on (UTC) or that guard skew (AQE)."""
+    """Apply the settings that results depend on (UTC), that guard skew (AQE) or that bound memory."""
     for key, value in REQUIRED_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     return spark
 
 
