@@ -143,9 +143,10 @@ def site_root(url: Column) -> Column:
     return F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
 
 
-def _exploded(pages: DataFrame, links: Column) -> DataFrame:
-    listed = pages.select(F.col("url").alias("page_url"), F.posexplode(links).alias("pos", "tagged"))
+def _exploded(pages: DataFrame, links: Column, *kept: str) -> DataFrame:
+    listed = pages.select(*kept, F.col("url").alias("page_url"), F.posexplode(links).alias("pos", "tagged"))
     return listed.select(
+        *kept,
         "page_url",
         "pos",
         F.substr(F.col("tagged"), F.lit(2)).alias("link_url"),
@@ -168,6 +169,11 @@ def page_links_with_refresh(pages: DataFrame, start_url: str | None = None) -> D
     return _exploded(pages.withColumn("start", start), _links_and_refresh("url", "html", "start"))
 
 
+def links_of_runs(pages: DataFrame) -> DataFrame:
+    """``(start, page_url, pos, link_url, link_type)`` of ``pages`` (start, url, html), each page as its run reads it."""
+    return _exploded(pages, _links_and_refresh("url", "html", "start"), "start")
+
+
 def link_type_counts(links: DataFrame) -> DataFrame:
     """Internal and external links per page, from a link table."""
     return links.groupBy("page_url").agg(

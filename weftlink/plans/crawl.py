@@ -6,7 +6,9 @@ driver holds nothing but row counts and the key that fills the page cap.
 
 Order is that of first arrival: by the order of the linking page, then by link
 position. A page's ``key`` spells the positions that lead to it, so within a
-depth keys sort in that order without any ranking.
+depth keys sort in that order without any ranking. Every few levels the pages
+are sorted once and their links' keys go on from a rank, so keys stay short
+however long a chain of pages is.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ from ..operators.reports import NO_RESPONSE, check_errors, status_text
 from ..operators.robots import BLOCKED, USER_AGENT, robots_rules, rule_lists, with_robots, with_verdict
 from ..session import delete_path, new_table_path, stash
 
-_LEVEL_SCHEMA = "url string, key string, allowed boolean"
+# ``base`` is what the keys of a page's links begin with.
+_LEVEL_SCHEMA = "url string, key string, base string, allowed boolean"
+# Levels between two rankings.
+_KEY_LEVELS = 8
 # Hex digits of a link position: enough for every link a body can hold.
 _POS_DIGITS = 8
 # ``monotonically_increasing_id`` puts the partition above this bit and counts
@@ -168,9 +173,9 @@ class CrawlRun:
     def occurrences(self) -> DataFrame:
         """Links of processed pages, with the depth and key they lead to."""
         origin = self.admitted.filter("allowed").select(
-            F.col("url").alias("page_url"), (F.col("depth") + 1).alias("depth"), "key"
+            F.col("url").alias("page_url"), (F.col("depth") + 1).alias("depth"), "base"
         )
-        return self.links.join(origin, "page_url").withColumn("key", _next_key())
+        return self.links.join(origin, "page_url").withColumn("key", _next_key()).drop("base")
 
     def externals(self) -> DataFrame:
         """``(url, source)``: each external URL with the first page that links it."""
@@ -269,7 +274,14 @@ class CrawlRun:
 
 
 def _next_key() -> Column:
-    return F.concat("key", F.lpad(F.hex("pos"), _POS_DIGITS, "0"))
+    return F.concat("base", F.lpad(F.hex("pos"), _POS_DIGITS, "0"))
+
+
+def _based(level: DataFrame, depth: int) -> DataFrame:
+    """Add ``base``: the key, or at every ``_KEY_LEVELS``-th depth the place in the sorted level."""
+    if not depth or depth % _KEY_LEVELS:
+        return level.withColumn("base", F.col("key"))
+    return level.orderBy("key").withColumn("base", F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
 
 
 def _sum(condition: Column, value: str) -> Column:
@@ -396,7 +408,7 @@ def crawl(
     total, depth = 0, 0
     while True:
         path = f"{level_dir}/depth={depth}"
-        _judge(fresh, own_rules).select("url", "key", "allowed").write.parquet(path)
+        _based(_judge(fresh, own_rules), depth).select("url", "key", "base", "allowed").write.parquet(path)
         level = spark.read.schema(_LEVEL_SCHEMA).parquet(path)
         found = level.count()
         if found == 0:
@@ -419,7 +431,7 @@ def _expand(followed: DataFrame, level: DataFrame, known: DataFrame) -> DataFram
     Dropping known URLs and repeated links is one aggregation: both sides are
     reduced per URL before they are shuffled.
     """
-    origin = level.filter("allowed").select(F.col("url").alias("page_url"), "key")
+    origin = level.filter("allowed").select(F.col("url").alias("page_url"), "base")
     met = followed.join(origin, "page_url").select(F.col("link_url").alias("url"), _next_key().alias("key"), F.lit(False).alias("known"))
     before = known.select("url", F.lit(None).cast("string").alias("key"), F.lit(True).alias("known"))
     merged = met.unionByName(before).groupBy("url").agg(F.min("key").alias("key"), F.bool_or("known").alias("known"))

@@ -13,7 +13,7 @@ from ..functions import urls as U
 from ..functions.text import content_hash, remembered, word_count
 from ..operators import boilerplate as B
 from ..operators import health, links, numbering, reports, robots
-from ..plans import export
+from ..plans import export, sites
 from ..plans.crawl import CrawlParams, CrawlRun, cached_urls, crawl
 from ..session import configure
 from ..sources import tables as S
@@ -402,6 +402,14 @@ def crawl_stats(spark, d):
     return run.stats(I.external_snapshot(spark, d))
 
 
+@query
+def crawl_sites(spark, d):
+    pages = I.sites(spark, d)
+    starts = pages.select(F.col("start").alias("url")).distinct()
+    run = sites.crawl_sites(pages.select("url", "status", "html"), starts, sites.SiteParams(max_pages=40), I.robots_txt(spark, d))
+    return run.report()
+
+
 @query
 def pages_report(spark, d):
     return _crawl(spark, d, robots_on=True, exporting=True).pages_report(_unchanged(spark, d))

@@ -7,7 +7,7 @@ All of them grow with ``pages`` or ``events``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -70,6 +70,30 @@ def site(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     )
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages by their own hosts; each links its host's first page, the next one and the fourth next."""
+    host = U.host_of(F.col("url"))
+    in_host = Window.partitionBy("host").orderBy("page_id")
+
+    def path(i: Column) -> Column:
+        return F.concat(F.when(i % 5 == 4, F.lit("/en/")).otherwise(F.lit("/p/")), i.cast("string"))
+
+    def link(i: Column, label: str) -> Column:
+        return F.coalesce(F.concat(F.lit('<a href="'), path(i), F.lit(f'">{label}</a>')), F.lit(""))
+
+    ids = table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
+    ids = ids.select("page_id", "host", *(F.lead("page_id", k).over(in_host).alias(f"next{k}") for k in (1, 4)), F.min("page_id").over(Window.partitionBy("host")).alias("first"))
+    i = F.col("page_id")
+    added = F.concat(link(F.col("next4"), "later"), link(F.col("next1"), "next"), link(F.col("first"), "first"))
+    status = F.when(i % 17 == 16, F.lit(404)).otherwise(F.lit(200))
+    return pages(spark, sf_dir).drop("url").join(ids, "page_id").select(
+        F.concat(F.lit("https://"), F.col("host"), path(i)).alias("url"),
+        status.alias("status"),
+        F.concat("html", added).alias("html"),
+        F.concat(F.lit("https://"), F.col("host"), path(F.col("first"))).alias("start"),
+    )
+
+
 def site_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     refresh = F.concat(F.lit('<meta http-equiv="refresh" content="0; url=/p/'), (i + 3).cast("string"), F.lit('">'))

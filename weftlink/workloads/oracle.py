@@ -576,6 +576,26 @@ ORACLE["crawl"] = f"WITH RECURSIVE {crawl()} {REACHED}"
 ORACLE["crawl_levels"] = f"WITH RECURSIVE {crawl()} SELECT depth, count(*) AS pages FROM admitted GROUP BY depth"
 ORACLE["crawl_max_depth"] = f"WITH RECURSIVE {crawl(depth=3)} {REACHED}"
 ORACLE["crawl_max_pages"] = f"WITH RECURSIVE {crawl(pages=40)} {REACHED}"
+ORACLE["crawl_sites"] = f"""WITH RECURSIVE hosted AS (SELECT *, {host('url')} AS host FROM pages),
+ids AS (SELECT page_id, host, lead(page_id, 1) OVER w AS next1, lead(page_id, 4) OVER w AS next4, min(page_id) OVER (PARTITION BY host) AS first
+  FROM hosted WINDOW w AS (PARTITION BY host ORDER BY page_id)),
+named AS (SELECT *, '/' || CASE WHEN page_id % 5 = 4 THEN 'en' ELSE 'p' END || '/' || page_id AS path FROM ids),
+sites AS (SELECT 'https://' || n.host || n.path AS url, 'https://' || n.host || f.path AS start, CASE WHEN n.page_id % 17 = 16 THEN 404 ELSE 200 END AS status,
+    html || coalesce('<a href="' || l.path || '">later</a>', '') || coalesce('<a href="' || x.path || '">next</a>', '') || '<a href="' || f.path || '">first</a>' AS html
+  FROM named n JOIN pages p ON p.page_id = n.page_id JOIN named f ON f.page_id = n.first
+  LEFT JOIN named x ON x.page_id = n.next1 LEFT JOIN named l ON l.page_id = n.next4),
+{distinct_links('sites')}, {ROBOTS},
+linked_urls AS (SELECT start AS url FROM sites UNION SELECT link_url FROM listed), {judged("linked_urls", "verdicts")},
+graph AS MATERIALIZED (SELECT page_url, pos, link_url FROM listed
+  WHERE link_type = 'internal' AND {allowed_extension('link_url')} AND page_url IN (SELECT url FROM verdicts WHERE allowed)),
+walk(start, url, depth, key) USING KEY (start, url) AS (SELECT DISTINCT start, start, 0, '' FROM sites
+  UNION SELECT w.start, g.link_url, min(w.depth) + 1, min(w.key || lpad(g.pos::VARCHAR, 5, '0'))
+  FROM walk w JOIN graph g ON g.page_url = w.url
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.start = w.start AND r.url = g.link_url) GROUP BY w.start, g.link_url),
+admitted AS (SELECT w.*, allowed FROM walk w JOIN verdicts v ON v.url = w.url QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth, key) <= 40)
+SELECT a.start, a.url, depth, coalesce(s.status, 0) AS status, CASE WHEN NOT allowed THEN 'blocked by robots.txt' WHEN s.status IS NULL THEN 'no response'
+    WHEN s.status >= 400 THEN 'status ' || s.status ELSE '' END AS error
+FROM admitted a LEFT JOIN sites s ON s.url = a.url AND a.allowed"""
 ORACLE["crawl_robots"] = f"""WITH RECURSIVE {crawl(robots=True)}
 SELECT url, depth, coalesce(status, 0) AS status, {PAGE_ERROR} AS error FROM visited"""
 ORACLE["pages_report"] = f"""WITH RECURSIVE {crawl(robots=True, inputs=EXPORT_TEXTS)},
