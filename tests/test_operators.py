@@ -293,3 +293,43 @@ def test_canonical_snapshot_keeps_the_last_fetch(spark):
     )
     raw = raw.withColumn("fetched_at", F.timestamp_seconds("at")).drop("at")
     assert rows(S.canonical_snapshot(raw), "url", "status") == [("https://h.example/a", 500), ("https://h.example/b", 200)]
+
+
+def test_unread_bodies_are_errors_of_their_own(spark):
+    from weftlink.plans.crawl import CrawlParams, crawl
+
+    rows = [("https://h/", 200, '<a href="/a"></a><a href="/b"></a><a href="/c"></a>', 1), ("https://h/a", 200, None, 2), ("https://h/b", 500, None, 3), ("https://h/c", 404, "", 4)]
+    result = crawl(spark.createDataFrame(rows, "url string, status int, html string, retrieved_ms long"), CrawlParams("https://h/", ignore_robots=True))
+    got = {r["target"]: (r["type"], r["message"], r["status"]) for r in result.errors().collect()}
+    assert got == {"https://h/a": ("read", "no body", 0), "https://h/b": ("read", "no body", 0), "https://h/c": ("http", "status 404", 404)}
+    report = {r["url"]: (r["status"], r["error"]) for r in result.pages_report().collect()}
+    assert report["https://h/a"] == (200, "no body") and report["https://h/c"] == (404, "status 404")
+
+
+def test_saves_keep_the_last_links_and_time(spark):
+    from weftlink.operators.reports import merge_page_saves
+
+    schema = "url string, seq long, status int, error string, links array<string>, retrieved_ms long, markdown_path string, skip_reason string"
+    rows = [("u", 1, 200, "", ["a"], 5, "", "s"), ("u", 2, 0, "e", ["b", "c"], 0, "", ""), ("u", 3, 0, "", [], 7, "/m", ""), ("v", 1, 0, "", None, 0, "", "s")]
+    got = {r["url"]: tuple(r)[1:] for r in merge_page_saves(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"u": (200, "e", ["b", "c"], 7, "/m", ""), "v": (0, "", [], 0, "", "s")}
+
+
+def test_health_document_is_one_json_text(spark, tmp_path):
+    import json
+
+    from weftlink.operators import health
+
+    rows = [(f"https://h/{i:03}", 404 if i % 50 == 9 else 200, i) for i in range(300)]
+    per_url = health.health_per_url(spark.createDataFrame(rows, "url string, status int, duration_ms long"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        health.write_health_document(per_url, str(tmp_path / "doc"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "doc").glob("part-*"))
+    document = json.loads("".join(p.read_text() for p in parts))
+    assert len(parts) > 1 and document["status"] == "fail" and [r["url"] for r in document["results"]] == [r[0] for r in rows]
+    assert document["results"][9] == {"url": "https://h/009", "status": "fail", "duration_ms": 9, "pages_visited": 1, "errors": [{"message": "status 404"}]}
+    none = health.health_document(per_url.limit(0)).orderBy("position").collect()
+    assert json.loads("".join(r["text"] for r in none)) == {"status": "pass", "results": []}

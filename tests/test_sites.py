@@ -61,6 +61,19 @@ def test_starts_of_all_kinds(spark):
     assert sites.crawl_sites(snapshot(spark, by_host), given.limit(0)).admitted.count() == 0
 
 
+def test_health_of_a_url_list(spark):
+    by_host = {"https://h0.test": {"/": '<a href="/x">x</a>', "/x": ""}, "https://h1.test": {"/": '<a href="/gone">y</a>'}}
+    pages = snapshot(spark, by_host).withColumn("retrieved_ms", F.lit(4).cast("long"))
+    run_ = sites.crawl_sites(pages, starts(spark, "h0.test", "h1.test", "ftp://x", "https://none.test/"))
+    got = {r["url"]: tuple(r)[1:] for r in run_.health().collect()}
+    assert got == {
+        "https://h0.test/": ("pass", 8, 2, 0, ""),
+        "https://h1.test/": ("fail", 4, 2, 1, "no response"),
+        "https://none.test/": ("fail", 0, 1, 1, "no response"),
+        "ftp://x": ("fail", 0, 0, 1, 'unsupported scheme "ftp"'),
+    }
+
+
 def test_robots_of_each_site(spark):
     by_host = {h: {"/start": '<a href="/x">x</a><a href="/y">y</a>', "/x": '<a href="/z">z</a>', "/y": ""} for h in hosts(2)}
     robots = spark.createDataFrame([("h0.test", 200, "User-agent: *\nDisallow: /x\n")], "host string, status int, body string")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stash
+from .numbering import number_rows
+
 PASS, FAIL = "pass", "fail"
 
 
@@ -64,6 +67,28 @@ def health_json(per_url: DataFrame) -> DataFrame:
     return per_url.select("url", F.to_json(result).alias("result"))
 
 
+def health_document(per_url: DataFrame) -> DataFrame:
+    """``(position, text)``: lines that in the order of ``position`` are one JSON document of the batch.
+
+    Its ``results`` are ordered by URL. The lines are numbered over all tasks,
+    so that no task holds the document.
+    """
+    spark = per_url.sparkSession
+    per_url = stash(per_url, "health")
+    rows = health_json(per_url).withColumn("all", F.lit(0))
+    batch = health_batch(per_url).first()
+    last = batch["urls"]
+    lines = number_rows(rows, "all", "url", "position")
+    lines = lines.select("position", F.concat("result", F.when(F.col("position") < last, F.lit(",")).otherwise(F.lit(""))).alias("text"))
+    head = f'{{"status":"{batch["status"]}","results":['
+    return lines.unionByName(spark.createDataFrame([(0, head), (last + 1, "]}")], "position long, text string"))
+
+
+def write_health_document(per_url: DataFrame, path: str) -> None:
+    """Write the document as text parts: one after the other, in the order of their names, they are the document."""
+    health_document(per_url).orderBy("position").select("text").write.text(path)
+
+
 def window_counts(probes: DataFrame, interval: str) -> DataFrame:
     """``(window_start, probes, failures)`` per run; works on streams as well."""
     failed = probe_error(F.col("status")) != ""

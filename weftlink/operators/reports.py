@@ -9,6 +9,7 @@ from ..session import stash
 from .lookup import attach
 
 NO_RESPONSE = "no response"
+NO_BODY = "no body"
 
 
 def status_text(status: Column) -> Column:
@@ -19,15 +20,17 @@ def check_errors(checked: DataFrame) -> DataFrame:
     """Error rows of checked URLs: ``(source, target, type, message, status)``.
 
     ``checked`` has ``source``, ``target`` and a ``status`` that is NULL where
-    the target gave no response.
+    the target gave no response; and ``unread``, if bodies were asked for, true
+    where an answer's body could not be read, which counts before its status.
     """
     missing = F.col("status").isNull()
-    return checked.filter(missing | (F.col("status") >= 400)).select(
+    unread = ~missing & F.col("unread") if "unread" in checked.columns else F.lit(False)
+    return checked.filter(missing | unread | (F.col("status") >= 400)).select(
         "source",
         "target",
-        F.when(missing, F.lit("request")).otherwise(F.lit("http")).alias("type"),
-        F.when(missing, F.lit(NO_RESPONSE)).otherwise(status_text(F.col("status"))).alias("message"),
-        F.coalesce("status", F.lit(0)).cast("int").alias("status"),
+        F.when(missing, F.lit("request")).when(unread, F.lit("read")).otherwise(F.lit("http")).alias("type"),
+        F.when(missing, F.lit(NO_RESPONSE)).when(unread, F.lit(NO_BODY)).otherwise(status_text(F.col("status"))).alias("message"),
+        F.when(missing | unread, F.lit(0)).otherwise(F.col("status")).cast("int").alias("status"),
     )
 
 
@@ -62,15 +65,18 @@ def snapshot_fetch(urls: DataFrame, snapshot: DataFrame) -> DataFrame:
 def merge_page_saves(saves: DataFrame) -> DataFrame:
     """One row per URL: the last non-empty value of each field, by ``seq``.
 
-    Once a Markdown path is known the skip reason is empty.
+    Fields are the status, the error, the links, the time it took, the Markdown
+    path and the skip reason, links and time if ``saves`` has them; once a path
+    is known the reason is empty.
     """
 
     def last(field: str, empty: object) -> Column:
-        present = F.when(F.col(field) != empty, F.col(field))
-        return F.coalesce(F.max_by(present, F.when(present.isNotNull(), F.col("seq"))), F.lit(empty)).alias(field)
+        filled = F.size(field) > 0 if field == "links" else F.col(field) != empty
+        present = F.when(filled, F.col(field))
+        none = F.array().cast(saves.schema[field].dataType) if field == "links" else F.lit(empty)
+        return F.coalesce(F.max_by(present, F.when(present.isNotNull(), F.col("seq"))), none).alias(field)
 
-    merged = saves.groupBy("url").agg(
-        last("status", 0), last("error", ""), last("markdown_path", ""), last("skip_reason", "")
-    )
+    fields = {"status": 0, "error": "", "links": None, "retrieved_ms": 0, "markdown_path": "", "skip_reason": ""}
+    merged = saves.groupBy("url").agg(*(last(field, empty) for field, empty in fields.items() if field in saves.columns))
     reason = F.when(F.col("markdown_path") != "", F.lit("")).otherwise(F.col("skip_reason"))
     return merged.withColumn("skip_reason", reason)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.text import remembered
 from ..operators.links import page_links_with_refresh
-from ..operators.reports import NO_RESPONSE, check_errors, status_text
+from ..operators.reports import NO_BODY, NO_RESPONSE, check_errors, status_text
 from ..operators.robots import BLOCKED, USER_AGENT, robots_rules, rule_lists, with_robots, with_verdict
 from ..session import delete_path, new_table_path, stash
 
@@ -92,8 +92,9 @@ class CrawlRun:
         return rows
 
     def pages(self) -> DataFrame:
-        """``(url, depth, key, allowed, status, retrieved_ms)``; NULL status: no response."""
-        known = self.snapshot.select("url", "status", "retrieved_ms", F.lit(True).alias("found"))
+        """``(url, depth, key, allowed, status, retrieved_ms, unread)``; NULL status: no response, unread: no body."""
+        unread = F.col("html").isNull().alias("unread")
+        known = self.snapshot.select("url", "status", "retrieved_ms", unread, F.lit(True).alias("found"))
         joined = self.admitted.join(known, "url", "left")
         seen = F.col("allowed") & F.col("found")
         return joined.select(
@@ -103,6 +104,7 @@ class CrawlRun:
             "allowed",
             F.when(seen, F.col("status")).alias("status"),
             F.when(seen, F.col("retrieved_ms")).alias("retrieved_ms"),
+            F.coalesce(seen & F.col("unread"), F.lit(False)).alias("unread"),
         )
 
     def reached(self) -> DataFrame:
@@ -123,6 +125,7 @@ class CrawlRun:
         error = (
             F.when(~F.col("allowed"), F.lit(BLOCKED))
             .when(F.col("status").isNull(), F.lit(NO_RESPONSE))
+            .when(F.col("unread"), F.lit(NO_BODY))
             .when(F.col("status") >= 400, status_text(F.col("status")))
             .otherwise(F.lit(""))
         )
@@ -168,7 +171,7 @@ class CrawlRun:
     def page_errors(self) -> DataFrame:
         """Errors of crawled pages; robots-blocked ones are no errors."""
         visited = self.pages().filter("allowed")
-        return check_errors(visited.select(F.col("url").alias("source"), F.col("url").alias("target"), "status"))
+        return check_errors(visited.select(F.col("url").alias("source"), F.col("url").alias("target"), "status", "unread"))
 
     def occurrences(self) -> DataFrame:
         """Links of processed pages, with the depth and key they lead to."""

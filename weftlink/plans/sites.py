@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators.health import verdict
 from ..operators.links import links_of_runs, start_url_check
 from ..operators.lookup import BROADCAST_LIMIT, text_bytes
 from ..operators.numbering import number_rows
@@ -73,6 +74,34 @@ class SitesRun:
         )
         return self.pages().select(*_KEY, "depth", "status", error.alias("error"))
 
+    def health(self) -> DataFrame:
+        """``(url, status, duration_ms, pages_visited, failures, errors)`` of every start, refused ones with their reason.
+
+        A start passes if all its visited pages answer without an error;
+        ``errors`` lists the distinct messages, in order, joined by a line break.
+        """
+        times = self.snapshot.select("url", "retrieved_ms")
+        visited = self.report().filter(F.col("error") != BLOCKED).join(times, "url", "left")
+        failed = F.col("error") != ""
+        counted = visited.groupBy("start", "error").agg(F.count("*").alias("n"), F.sum("retrieved_ms").alias("ms"))
+        per_start = counted.groupBy("start").agg(
+            F.coalesce(F.sum("ms"), F.lit(0)).alias("duration_ms"),
+            F.sum("n").alias("pages_visited"),
+            F.coalesce(F.sum(F.when(failed, F.col("n"))), F.lit(0)).alias("failures"),
+            F.array_join(F.sort_array(F.collect_list(F.when(failed, F.col("error")))), "\n").alias("errors"),
+        )
+        none = F.lit(0).cast("long")
+        per_start = self.starts.select("start").join(per_start, "start", "left").select(
+            F.col("start").alias("url"),
+            *(F.coalesce(c, none).alias(c) for c in ("duration_ms", "pages_visited", "failures")),
+            F.coalesce("errors", F.lit("")).alias("errors"),
+        )
+        refused = self.refused.select(
+            "url", none.alias("duration_ms"), none.alias("pages_visited"), F.lit(1).cast("long").alias("failures"), F.col("reason").alias("errors")
+        )
+        both = per_start.unionByName(refused)
+        return both.select("url", verdict(F.col("failures")).alias("status"), "duration_ms", "pages_visited", "failures", "errors")
+
     def stats(self) -> DataFrame:
         """``(start, pages, visited, blocked, broken, levels, capped)``, a row for each start that was crawled."""
         pages = self.pages()

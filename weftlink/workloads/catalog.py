@@ -402,12 +402,21 @@ def crawl_stats(spark, d):
     return run.stats(I.external_snapshot(spark, d))
 
 
-@query
-def crawl_sites(spark, d):
+def _crawl_sites(spark, d, **params) -> sites.SitesRun:
     pages = I.sites(spark, d)
     starts = pages.select(F.col("start").alias("url")).distinct()
-    run = sites.crawl_sites(pages.select("url", "status", "html"), starts, sites.SiteParams(max_pages=40), I.robots_txt(spark, d))
-    return run.report()
+    return sites.crawl_sites(pages.drop("start"), starts, sites.SiteParams(**params), I.robots_txt(spark, d))
+
+
+@query
+def crawl_sites(spark, d):
+    return _crawl_sites(spark, d, max_pages=40).report()
+
+
+@query
+def health_document(spark, d):
+    """A URL list, a crawl of each, and one document of how they do."""
+    return health.health_document(_crawl_sites(spark, d, max_depth=1).health())
 
 
 @query

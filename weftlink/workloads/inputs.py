@@ -90,6 +90,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://"), F.col("host"), path(i)).alias("url"),
         status.alias("status"),
         F.concat("html", added).alias("html"),
+        (i % 400).alias("retrieved_ms"),
         F.concat(F.lit("https://"), F.col("host"), path(F.col("first"))).alias("start"),
     )
 
@@ -203,6 +204,8 @@ def page_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.alias("seq"),
         F.when(e % 3 == 0, F.lit(200)).otherwise(F.lit(0)).alias("status"),
         on(5, F.lit("status 404")).alias("error"),
+        F.when(e % 9 == 0, F.array(F.concat(F.lit("/l/"), e.cast("string")), F.lit("/l"))).otherwise(F.array().cast("array<string>")).alias("links"),
+        F.when(e % 4 == 0, e % 400).otherwise(F.lit(0)).cast("long").alias("retrieved_ms"),
         on(7, F.concat(F.lit("/m/"), e.cast("string"))).alias("markdown_path"),
         on(11, F.lit("unchanged content")).alias("skip_reason"),
     )

@@ -192,6 +192,8 @@ PAGE_SAVES = """page_saves AS (
   SELECT 'https://site.example.com/u/' || (user_id % 50) AS url, event_id AS seq,
     CASE WHEN event_id % 3 = 0 THEN 200 ELSE 0 END AS status,
     CASE WHEN event_id % 5 = 0 THEN 'status 404' ELSE '' END AS error,
+    CASE WHEN event_id % 9 = 0 THEN ['/l/' || event_id, '/l'] ELSE [] END AS links,
+    CASE WHEN event_id % 4 = 0 THEN event_id % 400 ELSE 0 END::BIGINT AS retrieved_ms,
     CASE WHEN event_id % 7 = 0 THEN '/m/' || event_id ELSE '' END AS markdown_path,
     CASE WHEN event_id % 11 = 0 THEN 'unchanged content' ELSE '' END AS skip_reason
   FROM events)"""
@@ -464,10 +466,12 @@ checked AS (SELECT page_url AS source, link_url AS target, status FROM listed l
 ORACLE["page_report_merge"] = f"""WITH {PAGE_SAVES}, merged AS (SELECT url,
   coalesce(arg_max(status, seq) FILTER (status <> 0), 0) AS status,
   coalesce(arg_max(error, seq) FILTER (error <> ''), '') AS error,
+  coalesce(arg_max(links, seq) FILTER (len(links) > 0), []) AS links,
+  coalesce(arg_max(retrieved_ms, seq) FILTER (retrieved_ms <> 0), 0) AS retrieved_ms,
   coalesce(arg_max(markdown_path, seq) FILTER (markdown_path <> ''), '') AS markdown_path,
   coalesce(arg_max(skip_reason, seq) FILTER (skip_reason <> ''), '') AS skip_reason
 FROM page_saves GROUP BY url)
-SELECT url, status, error, markdown_path, CASE WHEN markdown_path <> '' THEN '' ELSE skip_reason END AS skip_reason FROM merged"""
+SELECT url, status, error, links, retrieved_ms, markdown_path, CASE WHEN markdown_path <> '' THEN '' ELSE skip_reason END AS skip_reason FROM merged"""
 PER_URL = f"""{PROBES}, per_url AS (SELECT url, CASE WHEN count(*) FILTER (status >= 400) > 0 THEN 'fail' ELSE 'pass' END AS status,
   sum(duration_ms)::BIGINT AS duration_ms, count(*) AS pages_visited, count(*) FILTER (status >= 400) AS failures,
   coalesce(string_agg(DISTINCT 'status ' || status, chr(10) ORDER BY 'status ' || status) FILTER (status >= 400), '') AS errors
@@ -576,11 +580,15 @@ ORACLE["crawl"] = f"WITH RECURSIVE {crawl()} {REACHED}"
 ORACLE["crawl_levels"] = f"WITH RECURSIVE {crawl()} SELECT depth, count(*) AS pages FROM admitted GROUP BY depth"
 ORACLE["crawl_max_depth"] = f"WITH RECURSIVE {crawl(depth=3)} {REACHED}"
 ORACLE["crawl_max_pages"] = f"WITH RECURSIVE {crawl(pages=40)} {REACHED}"
-ORACLE["crawl_sites"] = f"""WITH RECURSIVE hosted AS (SELECT *, {host('url')} AS host FROM pages),
+
+
+def crawl_sites(limit: str) -> str:
+    """``admitted(start, url, depth, key, allowed)`` of a run from the first page of every host, as far as ``limit``."""
+    return f"""hosted AS (SELECT *, {host('url')} AS host FROM pages),
 ids AS (SELECT page_id, host, lead(page_id, 1) OVER w AS next1, lead(page_id, 4) OVER w AS next4, min(page_id) OVER (PARTITION BY host) AS first
   FROM hosted WINDOW w AS (PARTITION BY host ORDER BY page_id)),
 named AS (SELECT *, '/' || CASE WHEN page_id % 5 = 4 THEN 'en' ELSE 'p' END || '/' || page_id AS path FROM ids),
-sites AS (SELECT 'https://' || n.host || n.path AS url, 'https://' || n.host || f.path AS start, CASE WHEN n.page_id % 17 = 16 THEN 404 ELSE 200 END AS status,
+sites AS (SELECT 'https://' || n.host || n.path AS url, 'https://' || n.host || f.path AS start, CASE WHEN n.page_id % 17 = 16 THEN 404 ELSE 200 END AS status, n.page_id % 400 AS retrieved_ms,
     html || coalesce('<a href="' || l.path || '">later</a>', '') || coalesce('<a href="' || x.path || '">next</a>', '') || '<a href="' || f.path || '">first</a>' AS html
   FROM named n JOIN pages p ON p.page_id = n.page_id JOIN named f ON f.page_id = n.first
   LEFT JOIN named x ON x.page_id = n.next1 LEFT JOIN named l ON l.page_id = n.next4),
@@ -592,10 +600,24 @@ walk(start, url, depth, key) USING KEY (start, url) AS (SELECT DISTINCT start, s
   UNION SELECT w.start, g.link_url, min(w.depth) + 1, min(w.key || lpad(g.pos::VARCHAR, 5, '0'))
   FROM walk w JOIN graph g ON g.page_url = w.url
   WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.start = w.start AND r.url = g.link_url) GROUP BY w.start, g.link_url),
-admitted AS (SELECT w.*, allowed FROM walk w JOIN verdicts v ON v.url = w.url QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth, key) <= 40)
-SELECT a.start, a.url, depth, coalesce(s.status, 0) AS status, CASE WHEN NOT allowed THEN 'blocked by robots.txt' WHEN s.status IS NULL THEN 'no response'
-    WHEN s.status >= 400 THEN 'status ' || s.status ELSE '' END AS error
+admitted AS (SELECT w.*, allowed FROM walk w JOIN verdicts v ON v.url = w.url {limit})"""
+
+
+SITE_ERROR = """CASE WHEN NOT allowed THEN 'blocked by robots.txt' WHEN s.status IS NULL THEN 'no response'
+    WHEN s.status >= 400 THEN 'status ' || s.status ELSE '' END"""
+ORACLE["crawl_sites"] = f"""WITH RECURSIVE {crawl_sites("QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth, key) <= 40")}
+SELECT a.start, a.url, depth, coalesce(s.status, 0) AS status, {SITE_ERROR} AS error
 FROM admitted a LEFT JOIN sites s ON s.url = a.url AND a.allowed"""
+ORACLE["health_document"] = f"""WITH RECURSIVE {crawl_sites("WHERE depth <= 1")},
+checked AS (SELECT a.start, {SITE_ERROR} AS error, coalesce(s.retrieved_ms, 0) AS ms FROM admitted a LEFT JOIN sites s ON s.url = a.url AND a.allowed),
+per_url AS (SELECT start AS url, CASE WHEN count(*) FILTER (error <> '') > 0 THEN 'fail' ELSE 'pass' END AS status, sum(ms)::BIGINT AS duration_ms,
+    count(*) AS pages_visited, list_sort(list(DISTINCT error) FILTER (error <> '')) AS errors
+  FROM checked WHERE error <> 'blocked by robots.txt' GROUP BY start),
+parts AS (SELECT row_number() OVER (ORDER BY url) AS position, count(*) OVER () AS n, '{{"url":"' || url || '","status":"' || status || '","duration_ms":' || duration_ms
+    || ',"pages_visited":' || pages_visited || coalesce(',"errors":[' || array_to_string(list_transform(errors, lambda e: '{{"message":"' || e || '"}}'), ',') || ']', '') || '}}' AS text FROM per_url)
+SELECT position, text || CASE WHEN position < n THEN ',' ELSE '' END AS text FROM parts
+UNION ALL SELECT 0, '{{"status":"' || CASE WHEN bool_and(status = 'pass') THEN 'pass' ELSE 'fail' END || '","results":[' FROM per_url
+UNION ALL SELECT count(*) + 1, ']}}' FROM per_url"""
 ORACLE["crawl_robots"] = f"""WITH RECURSIVE {crawl(robots=True)}
 SELECT url, depth, coalesce(status, 0) AS status, {PAGE_ERROR} AS error FROM visited"""
 ORACLE["pages_report"] = f"""WITH RECURSIVE {crawl(robots=True, inputs=EXPORT_TEXTS)},
