@@ -6,6 +6,8 @@ a table through its job to the end and reads the result back.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -21,16 +23,20 @@ SALTS = 16
 BATCHES = 3
 
 
-def table_stream(table: DataFrame, order: str, batches: int = BATCHES) -> DataFrame:
-    """``table`` written to the shared folder and read back as a stream of micro-batches in ``order``."""
+def arrivals(table: DataFrame, order: str, batches: int = BATCHES) -> Iterator[DataFrame]:
+    """The stream of a shared folder, anew after each part of ``table``, in ``order``, has arrived there.
+
+    A part is written by all tasks. A job that is run on each stream in turn, with
+    one progress folder, takes every part as a batch of its own and goes on where
+    it stopped.
+    """
     spark = table.sparkSession
     path = new_table_path(spark, "source")
     cuts = table.approxQuantile(order, [i / batches for i in range(1, batches)], 0.01) or [0.0] * (batches - 1)
     part = sum((F.when(F.col(order) > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
     for i in range(batches):
-        # One file each, as a batch is so many files; files arrive by their time of writing.
-        table.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return folder_stream(spark, path, table.schema, 1)
+        table.filter(part == i).write.mode("append").parquet(path)
+        yield folder_stream(spark, path, table.schema)
 
 
 def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -70,7 +76,8 @@ def write_new_urls(links: DataFrame, out: str, progress: str | None = None) -> D
 
 
 def run_new_urls(links: DataFrame, order: str) -> DataFrame:
-    return write_new_urls(table_stream(links, order), new_table_path(links.sparkSession, "new-urls"))
+    out, progress = (new_table_path(links.sparkSession, name) for name in ("new-urls", "progress"))
+    return [write_new_urls(stream, out, progress) for stream in arrivals(links, order)][-1]
 
 
 def write_window_counts(probes: DataFrame, interval: str, lateness: str, out: str, progress: str | None = None) -> DataFrame:
@@ -92,7 +99,8 @@ def write_window_counts(probes: DataFrame, interval: str, lateness: str, out: st
 
 
 def run_window_counts(probes: DataFrame, interval: str, lateness: str, order: str) -> DataFrame:
-    return write_window_counts(table_stream(probes, order), interval, lateness, new_table_path(probes.sparkSession, "windows"))
+    out, progress = (new_table_path(probes.sparkSession, name) for name in ("windows", "progress"))
+    return [write_window_counts(stream, interval, lateness, out, progress) for stream in arrivals(probes, order)][-1]
 
 
 def _ddl(df: DataFrame) -> str:
@@ -108,4 +116,5 @@ def strip_stream(stream: DataFrame, folder: str | None = None, progress: str | N
 
 
 def run_boilerplate(pages: DataFrame) -> DataFrame:
-    return strip_stream(table_stream(pages, "ord"))
+    folder, progress = (new_table_path(pages.sparkSession, name) for name in ("boilerplate-stream", "progress"))
+    return [strip_stream(stream, folder, progress) for stream in arrivals(pages, "ord")][-1]
