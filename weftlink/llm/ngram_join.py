@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stash
-from .common import components, text_of
+from .common import components, lean, text_of
 from .hashing import chunks, mix, shingles
 
 GROUPS = 128
@@ -121,7 +121,7 @@ def group_sizes(texts: DataFrame, rule: Jaccard) -> np.ndarray:
         there = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(sums[there])], names=["g", "n"])
 
-    rows = texts.select("text").mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.select("text").mapInArrow(lean(count), "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
     sizes = np.zeros(1 << ORDER_BITS, np.int64)
     sizes[rows["g"].to_numpy()] = rows["n"].to_numpy()
     return sizes
@@ -164,7 +164,7 @@ def signatures(texts: DataFrame, sizes: np.ndarray, rule: Jaccard) -> DataFrame:
                     names=["doc_id", "n", "s1", "s2", "head", "counts"],
                 )
 
-    return texts.mapInArrow(sign, f"doc_id {kind}, n long, s1 long, s2 long, head array<long>, counts binary")
+    return texts.mapInArrow(lean(sign), f"doc_id {kind}, n long, s1 long, s2 long, head array<long>, counts binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard) -> DataFrame:
@@ -203,11 +203,11 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard) -> DataFrame:
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
     texts.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    some = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(press, f"doc_id {kind}, text binary"), "candidate-texts")
+    some = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(lean(press), f"doc_id {kind}, text binary"), "candidate-texts")
     left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(lean(compare), f"a {kind}, b {kind}").distinct()
 
 
 def searched(regions: DataFrame, rule: Jaccard) -> DataFrame:
@@ -265,7 +265,7 @@ def searched(regions: DataFrame, rule: Jaccard) -> DataFrame:
             yield flush(pa.Table.from_batches(held))
 
     sorted_rows = regions.repartition(*names).sortWithinPartitions(*names)
-    found = sorted_rows.mapInArrow(run, f"a {kind}, b {kind}")
+    found = sorted_rows.mapInArrow(lean(run), f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

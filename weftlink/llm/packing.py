@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stash
-from .common import text_of
+from .common import lean, text_of
 
 CAPACITY = 2048
 END = struct.pack("<I", 0)
 FIT_ROUNDS = 60
 #: Rows of one length are ranked in this many parts.
 RANK_PARTS = 128
-#: Words, and parts of words, whose tokens a worker remembers, at most.
-REMEMBER = 400_000
+#: What a worker remembers of words, parts of words and their tokens, in bytes; forgotten when full.
+REMEMBER_BYTES = 64 << 20
+#: What an entry takes beside its strings.
+ENTRY_BYTES = 180
 _WORKER: dict = {}
 
 # Words that can be taken apart: ASCII and the Latin-1 letters, which stay as
@@ -63,6 +65,15 @@ class WordTokens:
         self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.room = REMEMBER_BYTES
+
+    def remember(self, table: dict, key: str | bytes, found: bytes) -> None:
+        self.room -= ENTRY_BYTES + len(key) + len(found)
+        if self.room < 0:
+            self.words.clear()
+            self.parts.clear()
+            self.room = REMEMBER_BYTES
+        table[key] = found
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -75,8 +86,7 @@ class WordTokens:
                 found = array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
             else:
                 found = self.whole(part)
-            if len(self.parts) < REMEMBER:
-                self.parts[part] = found
+            self.remember(self.parts, part, found)
         return found
 
     def word(self, word: bytes) -> bytes:
@@ -86,8 +96,7 @@ class WordTokens:
             found = self.part(text) if text.isalpha() else b"".join([self.part(p) for p in _PARTS(text)])
         else:
             found = self.whole(text)
-        if len(self.words) < REMEMBER:
-            self.words[word] = found
+        self.remember(self.words, word, found)
         return found
 
     def __call__(self, text: str) -> bytes:
@@ -126,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             )
 
     rows = docs.select("doc_id", text_of().alias("text"))
-    return rows.mapInArrow(cut, f"doc_id {kind.simpleString()}, {schema}")
+    return rows.mapInArrow(lean(cut), f"doc_id {kind.simpleString()}, {schema}")
 
 
 def exact_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:

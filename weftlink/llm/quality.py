@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
-from .common import text_of
+from .common import lean, text_of
 from .hashing import chunks, prefix_sums, substring_hash
 
 #: Labelled documents, and documents of the unlabelled pool, that the fit uses at most.
@@ -235,4 +235,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             score, _ = model.score(_views(batch))
             yield batch.select(["row"]).filter(pa.array(score >= threshold))
 
-    return rows.mapInArrow(sift, rows.select("row").schema).select("row.*")
+    return rows.mapInArrow(lean(sift), rows.select("row").schema).select("row.*")
