@@ -201,6 +201,26 @@ def test_mix_stage_repeats_rows(spark):
     assert mixing.mix_documents(edges(spark)).filter("text = ''").count() == 0
 
 
+def test_mix_stage_shuffles_no_texts(spark):
+    rows = [(i % 150, "w " * (i % 7), "en", None if i % 4 == 3 else f"s{i % 4}", i, *MORE) for i in range(300)]
+    docs = spark.createDataFrame(rows, f"{DOC}, {CLASH}")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        mixed = mixing.mix_documents(docs)
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    assert "hashpartitioning" not in plan
+    sized = docs.select("doc_id", F.array("source").alias("members"), mixing.word_count().alias("size"), F.col("n_chars").alias("row"))
+    taken, _ = mixing.mix(sized, "mix", whole=True, ties=["row"])
+    times = Counter({r["row"]: r["taken"] // r["size"] for r in taken.filter("taken > 0").collect()})
+    got = Counter(r["n_chars"] for r in mixed.collect())
+    by_id = lambda c: Counter(x for r, n in c.items() for x in [(r % 150, r % 7)] * n)
+    assert len(set(times.values())) > 1 and by_id(got) == by_id(times)
+
+
 # ---- licences
 
 

@@ -95,7 +95,7 @@ def word_count(column: str = "text"):
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
-def mix(rows: DataFrame, seed: str, repeats: int = REPEATS, whole: bool = False) -> tuple[DataFrame, dict]:
+def mix(rows: DataFrame, seed: str, repeats: int = REPEATS, whole: bool = False, ties: Sequence[str] = ()) -> tuple[DataFrame, dict]:
     """``rows`` (doc_id, members array of sources, size, any others) with ``taken``; and the targets by source.
 
     ``taken`` counts the words of the document that the mix takes, repeats
@@ -103,7 +103,7 @@ def mix(rows: DataFrame, seed: str, repeats: int = REPEATS, whole: bool = False)
     the first ones of a seeded order for the rest; the last of these gives only
     some of its words, or with ``whole`` all or none, whichever is nearer.
     Reruns agree: the order hashes the id with the seed, and rows with equal
-    ids follow one another by size. Members are a set: repeats and order don't
+    ids follow one another by size, then by the columns ``ties``. Members are a set: repeats and order don't
     matter; a null member is a source of its own; no member at all means
     nothing is taken.
     """
@@ -134,7 +134,7 @@ def mix(rows: DataFrame, seed: str, repeats: int = REPEATS, whole: bool = False)
     cells = rows.groupBy("_pattern", "_cell").agg(F.sum("size").alias("_words"))
     cells = cells.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0))).drop("_words")
     cells = stash(cells.join(plan, "_pattern"), "mix-cells")
-    within = Window.partitionBy("_pattern", "_cell").orderBy("_ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_pattern", "_cell").orderBy("_ticket", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(cells, ["_pattern", "_cell"], "left")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before") - F.col("_ahead")))
     if whole:
@@ -163,13 +163,25 @@ def mix_sources(docs: DataFrame, seed: str = "mix", repeats: int = REPEATS) -> D
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix", repeats: int = REPEATS) -> DataFrame:
-    """The mix itself: every document as often as it is taken, whole, with its columns."""
+    """The mix itself: every document as often as it is taken, whole, with its columns.
+
+    A source's documents are taken equally often, but for the first ones of its
+    seeded order, which are taken once more. So one row for each source, with
+    the last of these, tells of every document what is taken: no text is shuffled.
+    """
     docs, names = renamed(docs)
     extra = {"_members": F.array(F.col(names["source"]).cast("string")), "_size": word_count(names["text"])}
     rows = stash(docs.withColumns(extra).withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
     sized = rows.select(F.col(names["doc_id"]).alias("doc_id"), F.col("_members").alias("members"), F.col("_size").alias("size"), "_row")
-    taken, _ = mix(sized, seed, repeats, whole=True)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
-    used = stash(taken.select("_row", times.cast("int").alias("_times")).filter("_times > 0"), "mix-taken")
-    copies = rows.join(used, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    taken, _ = mix(sized, seed, repeats, whole=True, ties=["_row"])
+    times = F.floor(F.col("taken") / F.col("size"))
+    # A document without words can't be taken.
+    taken = taken.filter("size > 0").withColumn("_times", times.cast("int")).withColumn("_place", F.struct(seeded("doc_id", seed).alias("ticket"), "doc_id", "size", "_row"))
+    sources = taken.groupBy("members", "_times").agg(F.max("_place").alias("_last"))
+    sources = sources.groupBy("members").agg(F.min("_times").alias("_least"), F.max(F.struct("_times", "_last")).alias("_most"))
+    sources = stash(sources.select(F.col("members")[0].alias("_source"), "_least", F.col("_most._times").alias("_times"), "_most._last"), "mix-sources")
+    place = F.struct(seeded(names["doc_id"], seed).alias("ticket"), F.col(names["doc_id"]).alias("doc_id"), F.col("_size").alias("size"), "_row")
+    copies = rows.filter("_size > 0").join(F.broadcast(sources), F.col("_members")[0].eqNullSafe(F.col("_source")))
+    copies = copies.withColumn("_times", F.when(place <= F.col("_last"), F.col("_times")).otherwise(F.col("_least"))).filter("_times > 0")
+    copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return copies.select(*(F.col(own).alias(c) for c, own in names.items()))
