@@ -459,6 +459,25 @@ def test_count_tree_keeps_every_pair_that_could_link():
     assert set(zip(q.tolist(), p.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(expected))))
 
 
+def test_long_half_alike_documents_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(3000)]
+    texts = [" ".join([*base[: 375 * i], *(word() for _ in range(375)), *base[375 * (i + 1) :]]) for i in range(8)]
+    survivors, searched = [], ngram_join.searched
+
+    def counting(regions, rule):
+        pairs = searched(regions, rule)
+        survivors.append((regions.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "searched", counting)
+    rule = ngram_join.Jaccard(4, 85, 100)
+    assert found(ngram_join.join_components(documents(spark, texts), rule), "doc_id", "n_shingles", "component_id") == jaccard_rows(texts, 4, 85, 100)
+    # They meet in regions, and two of them share three quarters; all 28 pairs came through sums of 128 groups.
+    assert survivors[0][0] > 8 and survivors[0][1] <= 3
+
+
 def test_ngram_join_on_edges(spark):
     docs = edges(spark)
     assert ngram_join.join_components(docs).filter("doc_id IS NULL AND component_id IS NULL").count() == 2

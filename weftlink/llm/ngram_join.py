@@ -3,7 +3,9 @@
 Shingles are hashed into groups; a document is the point of its group counts.
 What two documents share is at most the sum of the smaller counts, and the same
 holds for a tree node with its largest counts, so a search leaves out whole
-subtrees. Surviving pairs are verified on the sets themselves.
+subtrees. Trees hold sums of neighbouring groups; what they let through meets the
+same bound by the groups themselves, whose small counts say more about long
+documents. Surviving pairs are verified on the sets themselves.
 
 Trees are per region: two documents as similar as asked share one of their
 first shingles in any common order, so each such shingle has a tree of the
@@ -26,7 +28,9 @@ from ..session import stash
 from .common import components, lean, text_of
 from .hashing import chunks, mix, shingles
 
-GROUPS = 128
+GROUPS = 512
+#: Sums of groups that trees hold.
+TREE_GROUPS = 128
 #: Groups whose sizes over all documents give the order of shingles.
 ORDER_BITS = 16
 FANOUT = 16
@@ -109,6 +113,15 @@ class CountTree:
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
+def near_counts(counts: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, rule: Jaccard) -> np.ndarray:
+    """Which of the pairs of rows (a, b) the bound by all groups lets through."""
+    keep = np.zeros(len(a), bool)
+    for at in range(0, len(a), FRONT // 4):
+        x, y = a[at : at + FRONT // 4], b[at : at + FRONT // 4]
+        keep[at : at + FRONT // 4] = np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) >= rule.need(size[x], size[y])
+    return keep
+
+
 def group_sizes(texts: DataFrame, rule: Jaccard) -> np.ndarray:
     """Shingles of all documents in each of 2^ORDER_BITS groups; so many counts and no more reach the driver."""
 
@@ -141,8 +154,8 @@ def signatures(texts: DataFrame, sizes: np.ndarray, rule: Jaccard) -> DataFrame:
                 owner = np.repeat(np.arange(len(n)), n)
                 group = (found >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64)
                 counts = np.bincount(owner * GROUPS + group, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
-                # A byte for each count where that is enough, else four.
-                packed = [c.astype("u1" if c.max() < 256 else "<u4").tobytes() for c in counts]
+                # A byte for each count where that is enough, else four; most are small and compress well.
+                packed = [zlib.compress(c.astype("u1" if c.max() < 256 else "<u4").tobytes(), 1) for c in counts]
                 sums = []
                 for salt in (1, 2):
                     total = np.zeros(len(found) + 1, np.uint64)
@@ -224,11 +237,14 @@ def searched(regions: DataFrame, rule: Jaccard) -> DataFrame:
         if len(comp) < 2 or (comp == comp[0]).all():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         n = rows.column("n").to_numpy()
-        packed = rows.column("counts").to_pylist()
+        packed = [zlib.decompress(p) for p in rows.column("counts").to_pylist()]
         if all(len(p) == GROUPS for p in packed):
-            points = np.frombuffer(b"".join(packed), "u1").reshape(-1, GROUPS)
+            counts = np.frombuffer(b"".join(packed), "u1").reshape(-1, GROUPS)
         else:
-            points = np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<u4").astype("<u4") for p in packed])
+            counts = np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<u4").astype("<u4") for p in packed])
+        points = counts.reshape(len(n), TREE_GROUPS, -1).sum(2, dtype="<u4")
+        if points.max() < 256:
+            points = points.astype("u1")
         side = rows.column("side").to_numpy()
         if rows.column("c1")[0].as_py() == rows.column("c2")[0].as_py():
             left = right = np.arange(len(n))
@@ -241,6 +257,8 @@ def searched(regions: DataFrame, rule: Jaccard) -> DataFrame:
         keep = comp[q] != comp[p]
         if left is right:
             keep &= q < p
+        q, p = q[keep], p[keep]
+        keep = near_counts(counts, n, q, p, rule)
         return q[keep], p[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
