@@ -414,6 +414,22 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     assert found(vectors.near_vectors(frame), "vec_id", "n_links", "component_id", "kept") == expected
 
 
+def test_vectors_ask_rooms_not_lists(spark, monkeypatch):
+    asked, questions = [], vectors.questions
+
+    def counting(*given):
+        rows = questions(*given)
+        asked.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(vectors, "questions", counting)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=16).tolist(), i % 2) for i in range(1000)]
+    assert vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).count() == 1000
+    # 32 lists of some 16 vectors of a label are one room.
+    assert 0 < asked[0] <= 1000
+
+
 # ---- n-gram join
 
 

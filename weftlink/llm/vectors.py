@@ -1,14 +1,15 @@
 """Near-duplicate vectors by product quantisation.
 
 Unit vectors go to the inverted list of their nearest coarse centre, with a
-short code for what is left in each subspace. A query looks into every list
-that can hold a vector near enough, adds up table distances to the codes there,
-and compares exactly what the distances let through.
+short code for what is left in each subspace. Lists of a label share rooms of
+about BLOCK vectors. A query goes once to every room with a list that can hold a
+vector near enough, takes its distances to what the codes there stand for, and
+compares exactly what the distances let through.
 
 A vector within distance r of the query, in the list of centre c, lies on c's
 side of the plane between c and the query's own centre; so a list whose plane is
 farther than r needs no probe. A code tells how far it is from its vector, so a
-table distance beyond r by more than that rules the vector out. Neither step
+distance to it beyond r by more than that rules the vector out. Neither step
 loses a link.
 """
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stash
@@ -32,9 +33,9 @@ LISTS = 4096
 SUBSPACES = 8
 CODES = 256
 TRAIN_ROUNDS = 10
-#: Vectors of a list that a query meets at once; longer lists are cut.
+#: Vectors that a query meets at once: short lists are put together, longer ones cut.
 BLOCK = 2048
-QUERIES = 128
+QUERIES = 512
 SLACK = 1e-5
 
 
@@ -75,26 +76,22 @@ class Quantiser:
         own = nearest(unit, self.centres).argmin(1)
         rest = unit - self.centres[own]
         codes = np.stack([nearest(rest[:, p], b).argmin(1) for p, b in zip(self.parts, self.books)], 1).astype(np.uint8)
-        seen = np.zeros_like(rest)
+        return own, codes, np.sqrt(((unit - self.decode(own, codes)) ** 2).sum(1))
+
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes stand for."""
+        seen = self.centres[lists]
         for i, (p, b) in enumerate(zip(self.parts, self.books)):
-            seen[:, p] = b[codes[:, i]]
-        return own, codes, np.sqrt(((rest - seen) ** 2).sum(1))
+            seen[:, p] += b[codes[:, i]]
+        return seen
 
-    def probes(self, unit: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every list that can hold a vector within the radius."""
+    def probes(self, unit: np.ndarray, radius: float) -> np.ndarray:
+        """Which lists (columns) can hold a vector within the radius of a row."""
         d = nearest(unit, self.centres)
         own = d.argmin(1)
         apart = np.sqrt(nearest(self.centres[own], self.centres))
         gap = d - d[np.arange(len(d)), own][:, None]
-        return np.nonzero(gap <= 2 * apart * (radius + SLACK) + SLACK)
-
-    def table_distances(self, unit: np.ndarray, lists: int, codes: np.ndarray) -> np.ndarray:
-        """Distances between queries and the codes of one list, from tables by subspace."""
-        rest = unit - self.centres[lists]
-        total = np.zeros((len(unit), len(codes)))
-        for i, (p, b) in enumerate(zip(self.parts, self.books)):
-            total += nearest(rest[:, p], b)[:, codes[:, i]]
-        return np.sqrt(total)
+        return gap <= 2 * apart * (radius + SLACK) + SLACK
 
 
 def unit_rows(batch: pa.RecordBatch, column: str = "v") -> np.ndarray:
@@ -102,6 +99,35 @@ def unit_rows(batch: pa.RecordBatch, column: str = "v") -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(1))[:, None]
 
 
+def rooms_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """label, list, low, high: the rooms that hold a list; and label, room, lists: what a room holds."""
+    lists = members.groupBy("label", "list").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("label").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
+    lists = lists.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    room = lambda at: F.floor(at / BLOCK).cast("int")
+    lists = stash(lists.select("label", "list", room(F.col("before")).alias("low"), room(F.col("before") + F.col("n") - 1).alias("high")), "list-rooms")
+    each = lists.select("label", "list", F.explode(F.sequence("low", "high")).alias("room"))
+    return lists, stash(each.groupBy("label", "room").agg(F.collect_list("list").alias("lists")), "rooms")
+
+
+def questions(classes: DataFrame, rooms: DataFrame, pq: Quantiser, radius: float) -> DataFrame:
+    """class, label, v, room: a row for each room where a vector within the radius may be."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                there = part.column("lists")
+                n = there.value_lengths().to_numpy()
+                able = pq.probes(unit_rows(part), radius)[np.repeat(np.arange(len(n)), n), there.flatten().to_numpy()]
+                some = np.logical_or.reduceat(able, np.cumsum(n) - n)  # a room has at least one list
+                yield part.select(["class", "label", "v", "room"]).filter(pa.array(some))
+
+    kind = classes.schema["label"].dataType.simpleString()
+    met = classes.select("class", "label", "v").join(rooms, "label").select("class", "label", "v", "room", "lists")
+    return met.mapInArrow(ask, f"class long, label {kind}, v array<float>, room int")
+
+
 def _links(classes: DataFrame, cosine: float) -> DataFrame:
     """(kind, a, b): kind 0 is b links counted for class a, kind 1 an edge; of classes of one dimension.
 
@@ -126,24 +152,13 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
     base = f"class long, label {kinds['label']}, many long, v array<float>"
     members = stash(classes.select("class", "label", "many", "v").mapInArrow(place, f"{base}, list int, codes binary, off double"), "inverted-lists")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                row, where = pq.probes(unit_rows(part), radius)
-                if len(row):
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("class", "label", "v")), pa.array(where.astype(np.int32))], names=["class", "label", "v", "list"])
-
-    asked = classes.select("class", "label", "v").mapInArrow(probe, f"class long, label {kinds['label']}, v array<float>, list int")
-    cuts = members.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cuts = stash(cuts, "list-sizes")
-    held = members.join(cuts, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    asked = asked.join(cuts, ["label", "list"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = ["label", "list", "block"]
+    lists, rooms = rooms_of(members)
+    held = members.join(lists, ["label", "list"]).withColumn("room", F.col("low") + F.pmod(F.xxhash64("class"), F.col("high") - F.col("low") + 1).cast("int"))
+    key = ["label", "room"]
     none = lambda t: F.lit(None).cast(t)
-    held = held.select(*key, F.lit(0).alias("asks"), "class", "many", "v", "codes", "off")
-    asked = asked.select(*key, F.lit(1).alias("asks"), "class", none("long").alias("many"), "v", none("binary").alias("codes"), none("double").alias("off"))
+    held = held.select(*key, F.lit(0).alias("asks"), "class", "many", "v", "list", "codes", "off")
+    asked = questions(classes, rooms, pq, radius)
+    asked = asked.select(*key, F.lit(1).alias("asks"), "class", none("long").alias("many"), "v", none("int").alias("list"), none("binary").alias("codes"), none("double").alias("off"))
     rows = held.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "asks")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +169,10 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
             for a, b in zip(ends[:-1], ends[1:]):
                 if a == b:
                     continue
-                part, this = batch.slice(a, b - a), tuple(keys[:3, a])
+                part, this = batch.slice(a, b - a), tuple(keys[:2, a])
                 if this != now:
                     now, parts, block = this, [], None
-                if keys[3, a] == 0:
+                if keys[2, a] == 0:
                     parts.append(part)
                     continue
                 if not parts:
@@ -167,11 +182,12 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
                     unit = unit_rows(block)
                     names, many, off = (block.column(c).to_numpy() for c in ("class", "many", "off"))
                     codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(names), -1)
+                    stand = pq.decode(block.column("list").to_numpy(), codes)
                     group = np.arange(len(names))
                 for at in range(0, part.num_rows, QUERIES):
                     some = part.slice(at, QUERIES)
                     query, who = unit_rows(some), some.column("class").to_numpy()
-                    near = pq.table_distances(query, int(this[1]), codes) - off[None] <= radius + SLACK
+                    near = np.sqrt(nearest(query, stand)) - off[None] <= radius + SLACK
                     q, m = np.nonzero(near & (who[:, None] != names[None]))
                     good = (query[q] * unit[m]).sum(1) >= cosine
                     q, m = q[good], m[good]
